@@ -1,0 +1 @@
+"""Empty on purpose: every input of this library is a batch table, there is no stream to process."""
