@@ -21,23 +21,17 @@ def _bracket_probs(probs: Sequence[float]) -> list[float]:
     return edges
 
 
-def _sketch(value: Column, probs: Sequence[float]) -> Column:
-    return F.percentile_approx(value, _bracket_probs(probs), SKETCH_ACCURACY)
-
-
 def _refine(rows: DataFrame, keys: list[str], sketch: DataFrame, probs: Sequence[float],
-            few_groups: bool) -> DataFrame:
+            small_group: int) -> DataFrame:
     """Turn per-group sketches (keys, _n, _edges) into exact quantiles of ``rows`` (keys, _v)."""
     inf = F.lit(float("inf"))
-    small = F.col("_n") <= SMALL_GROUP
+    small = F.col("_n") <= small_group
     brackets = sketch.select(*keys, "_n", F.explode(F.array(*[
         F.struct(
             F.lit(i).alias("i"), F.lit(float(p)).alias("p"),
             F.when(small, -inf).otherwise(F.col("_edges")[2 * i]).alias("lo"),
             F.when(small, inf).otherwise(F.col("_edges")[2 * i + 1]).alias("hi"),
         ) for i, p in enumerate(probs)])).alias("_b")).select(*keys, "_n", "_b.*")
-    if few_groups:
-        brackets = F.broadcast(brackets)
     # Everything under the bracket collapses into one null-valued group: counted, never kept.
     counted = (rows.join(brackets, keys).where(F.col("_v") <= F.col("hi"))
                .groupBy(*keys, "i", "p", "_n", F.when(F.col("_v") >= F.col("lo"), F.col("_v")).alias("_v"))
@@ -59,8 +53,8 @@ def _refine(rows: DataFrame, keys: list[str], sketch: DataFrame, probs: Sequence
         *[F.max(F.when(F.col("i") == i, value)).alias(f"_q{i}") for i in range(len(probs))])
 
 
-def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                      probs: Sequence[float]) -> DataFrame:
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
+                      small_group: int = SMALL_GROUP) -> DataFrame:
     """Exact linear-interpolation quantiles per group, safe for groups of any size.
 
     Output: keys plus ``_q0, _q1, ...``. A bounded sketch per group first brackets each wanted
@@ -69,25 +63,21 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    sketch = rows.groupBy(*keys).agg(
-        F.count("*").alias("_n"), _sketch(F.col("_v"), probs).alias("_edges"))
-    return _refine(rows, keys, sketch, probs, few_groups=False)
+    sketch = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx(
+        F.col("_v"), _bracket_probs(probs), SKETCH_ACCURACY).alias("_edges"))
+    return _refine(rows, keys, sketch, probs, small_group)
 
 
-def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Exact quantiles of many columns: rows of (column, _q0, _q1, ...); all-null columns are absent.
+def long_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value) rows of the named columns; plans stay small however many columns there are."""
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
+    return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.column", "p.value")
 
-    One wide aggregate sketches all columns at once, a second pass refines them.
-    """
-    wide = df.agg(*[F.struct(F.count(c).alias("_n"),
-                             _sketch(F.col(c).cast("double"), probs).alias("_edges")).alias(c)
-                    for c in columns])
-    sketch = wide.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c)["_n"].alias("_n"), F.col(c)["_edges"].alias("_edges"))
-        for c in columns])).alias("s")).select("s.*").where("_n > 0")
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_v")) for c in columns]
-    long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("_v is not null")
-    return _refine(long, ["column"], sketch, probs, few_groups=True)
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                     small_group: int = SMALL_GROUP) -> DataFrame:
+    """Exact quantiles of whole columns: rows of (column, _q0, _q1, ...); all-null columns are absent."""
+    return grouped_quantiles(long_columns(df, columns), ["column"], "value", probs, small_group)
 
 
 def number_rows(df: DataFrame, hashed: Column, tiebreak: Column, by: Sequence[str] = (),
@@ -112,7 +102,7 @@ def number_rows(df: DataFrame, hashed: Column, tiebreak: Column, by: Sequence[st
 
 
 def slot_of(value: Column, bounds: Column, size: int) -> Column:
-    """How many of the ``size`` (2^k - 1) ascending ``bounds`` are <= value: a binary search."""
+    """How many of the ``size`` (2^k - 1) ascending ``bounds`` are <= value, by binary search."""
     steps = []
     step = (size + 1) // 2
     while step:

@@ -9,6 +9,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _MARKS = regex.compile(r"\p{Mn}+")
 
@@ -23,7 +24,7 @@ def plain(text: str | None) -> str:
     return lowered.strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _plain_batch(texts: pd.Series) -> pd.Series:
     return texts.map(plain)
 

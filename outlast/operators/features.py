@@ -15,9 +15,7 @@ from outlast.operators.cohort import KEY, last_activity
 from outlast.sources.schema import REPUTATION, SCORE_COUNTS, SCORES, ZERO_WHEN_ABSENT
 
 AGE_REFERENCE = "2026-01-01"
-# Above this many jobs a key's exact quantiles leave the one-task path. Such keys number at most a
-# millionth of the job rows (48 MB of narrow rows for 10^12 jobs), which is what makes their
-# broadcast below safe.
+# Above this many jobs a key's exact quantiles leave the one-task path.
 HOT_KEY_ROWS = 1_000_000
 
 
@@ -197,39 +195,41 @@ def _with_job_counts(cohort: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def _per_key(cohort: DataFrame, jobs: DataFrame, blocks: Iterable[Callable[[DataFrame], list[Column]]],
-             distances: bool) -> DataFrame:
+             hot_key_rows: int | None = None) -> DataFrame:
     """Aggregate the window jobs per key in one pass.
 
-    The exact distance quantiles of hot keys come from a second branch that starts at a broadcast
-    of those keys: when there are none, the usual case, AQE drops it before its scan begins.
+    With ``hot_key_rows`` the distance block is included. Its exact quantiles hold a key's distinct
+    values in one task, so keys with more jobs than that get theirs from the sketch-and-refine path
+    instead; that path is only planned when such keys exist.
     """
-    if not distances:
+    if hot_key_rows is None:
         rows = window_jobs(cohort, jobs)
         return rows.groupBy(KEY).agg(*[c for block in blocks for c in block(rows)])
     counted = _with_job_counts(cohort, jobs)
+    hot = counted.where(F.col("n_jobs_total") > hot_key_rows)
     rows = window_jobs(counted, jobs, "n_jobs_total")
-    one_task = F.coalesce(F.col("n_jobs_total"), F.lit(0)) <= HOT_KEY_ROWS
+    one_task = F.coalesce(F.col("n_jobs_total"), F.lit(0)) <= hot_key_rows
     stats = rows.groupBy(KEY).agg(
         *[c for block in blocks for c in block(rows)], *distance_aggregates(one_task))
-    hot = F.broadcast(counted.where(F.col("n_jobs_total") > HOT_KEY_ROWS).select(
-        KEY, "ativacao_at", "landmark_at", "latitude", "longitude"))
-    spread = grouped_quantiles(window_jobs(hot, jobs), [KEY], "distancia_km", [0.5, 0.9])
-    return (stats.join(spread, KEY, "left")
-            .withColumn("distancia_mediana_km", F.coalesce(F.col("_q")[0], F.col("_q0")))
-            .withColumn("distancia_p90_km", F.coalesce(F.col("_q")[1], F.col("_q1")))
-            .drop("_q", "_q0", "_q1"))
+    middle, upper = F.col("_q")[0], F.col("_q")[1]
+    if hot.head(1):
+        spread = grouped_quantiles(window_jobs(hot, jobs), [KEY], "distancia_km", [0.5, 0.9])
+        stats = stats.join(spread, KEY, "left")
+        middle, upper = F.coalesce(middle, F.col("_q0")), F.coalesce(upper, F.col("_q1"))
+    return stats.withColumns({"distancia_mediana_km": middle, "distancia_p90_km": upper}).drop(
+        "_q", "_q0", "_q1")
 
 
 def genuine_rating(cohort: DataFrame, jobs: DataFrame) -> DataFrame:
-    return _per_key(cohort, jobs, [rating_aggregates], distances=False)
+    return _per_key(cohort, jobs, [rating_aggregates])
 
 
 def window_productivity(cohort: DataFrame, jobs: DataFrame) -> DataFrame:
-    return _per_key(cohort, jobs, [productivity_aggregates], distances=False)
+    return _per_key(cohort, jobs, [productivity_aggregates])
 
 
-def distance_stats(cohort: DataFrame, jobs: DataFrame) -> DataFrame:
-    return _per_key(cohort, jobs, [], distances=True)
+def distance_stats(cohort: DataFrame, jobs: DataFrame, hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    return _per_key(cohort, jobs, [], hot_key_rows)
 
 
 def conduct_features(cohort: DataFrame, incidents: DataFrame) -> DataFrame:
@@ -244,11 +244,10 @@ def conduct_features(cohort: DataFrame, incidents: DataFrame) -> DataFrame:
         _sum_or_zero(F.col("penalty_amount")).alias("penalidade_total"))
 
 
-def window_features(cohort: DataFrame, jobs: DataFrame, incidents: DataFrame) -> DataFrame:
-    """All in-window predictors for every cohort member; no activity means zero counts and rates."""
-    work = _per_key(cohort, jobs, [productivity_aggregates, rating_aggregates], distances=True)
-    feats = (cohort.select(KEY).join(work, KEY, "left")
-             .join(conduct_features(cohort, incidents), KEY, "left"))
+def _with_window_features(spine: DataFrame, cohort: DataFrame, jobs: DataFrame,
+                          incidents: DataFrame) -> DataFrame:
+    work = _per_key(cohort, jobs, [productivity_aggregates, rating_aggregates], HOT_KEY_ROWS)
+    feats = spine.join(work, KEY, "left").join(conduct_features(cohort, incidents), KEY, "left")
     filled = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ZERO_WHEN_ABSENT if c in feats.columns}
     per_job = lambda c: ratio_or_zero(F.col(c), F.col("n_diarias"))
     return feats.withColumns(filled).withColumns({
@@ -256,13 +255,21 @@ def window_features(cohort: DataFrame, jobs: DataFrame, incidents: DataFrame) ->
         "taxa_cancelamento": per_job("n_cancelamento"), "fracao_preferencial": per_job("n_diarias_pref")})
 
 
+def window_features(cohort: DataFrame, jobs: DataFrame, incidents: DataFrame) -> DataFrame:
+    """All in-window predictors for every cohort member; no activity means zero counts and rates."""
+    return _with_window_features(cohort.select(KEY), cohort, jobs, incidents)
+
+
 def feature_matrix(cohort: DataFrame, jobs: DataFrame, incidents: DataFrame) -> DataFrame:
-    """Key, target and every predictor. Only the in-window block needs a join."""
+    """Key, target and every predictor. Only the in-window block needs joins.
+
+    The cohort is read by each block, so pass a written one (``outlast.session.cut_lineage``).
+    """
     own = {**profile_columns(cohort), **funnel_columns(cohort), **identity_columns(cohort)}
     reputation = {**reputation_columns(), **service_score_columns(cohort)}
     fixed = cohort.select(
         KEY, "tempo", "evento", *[c.alias(n) for n, c in {**own, **reputation}.items()])
-    window = window_features(cohort, jobs, incidents)
-    joined = fixed.join(window, KEY, "left")
-    order = [KEY, "tempo", "evento", *own, *[c for c in window.columns if c != KEY], *reputation]
-    return joined.select(*order)
+    joined = _with_window_features(fixed, cohort, jobs, incidents)
+    lead = [KEY, "tempo", "evento", *own]
+    window = [c for c in joined.columns if c not in lead and c not in reputation]
+    return joined.select(*lead, *window, *reputation)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outlast.functions.ordering import column_quantiles
+from outlast.functions.ordering import SMALL_GROUP, grouped_quantiles, long_columns
 from outlast.sources.schema import CATEGORICAL, NOT_PREDICTORS
 
 
@@ -29,6 +29,49 @@ def _safe(name: str) -> str:
     return re.sub(r"\W", "_", name)
 
 
+@dataclass(frozen=True)
+class ColumnStats:
+    """What training says about one numeric column; moments are over the values present."""
+
+    rows: int
+    present: int
+    mean: float
+    variance: float
+    median: float
+
+    def imputed(self) -> tuple[float, float]:
+        """Mean and population deviation once the missing values have become the median."""
+        share = self.present / self.rows
+        mean = share * self.mean + (1 - share) * self.median
+        spread = share * (self.variance + (self.mean - mean) ** 2) + (1 - share) * (self.median - mean) ** 2
+        return mean, spread ** 0.5
+
+    def indicator(self) -> tuple[float, float]:
+        share = 1 - self.present / self.rows
+        return share, (share * (1 - share)) ** 0.5
+
+
+def numeric_statistics(train: DataFrame, columns: list[str], small_group: int = SMALL_GROUP) -> dict[str, ColumnStats]:
+    """Counts, moments and exact medians of many columns; one row per column reaches the driver.
+
+    Small training sets take their medians in the same pass. Larger ones use the bounded
+    sketch-and-refine path, because an exact median in one aggregate would hold all distinct values.
+    """
+    long = long_columns(train.select(*[finite(c).alias(c) for c in columns]), columns)
+    rows = train.count()
+    moments = [F.count("value").alias("present"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance")]
+    if rows <= small_group:
+        table = long.groupBy("column").agg(*moments, F.median("value").alias("median"))
+    else:
+        medians = grouped_quantiles(long, ["column"], "value", [0.5], small_group)
+        table = long.groupBy("column").agg(*moments).join(
+            medians.withColumnRenamed("_q0", "median"), "column", "left")
+    found = {r["column"]: r for r in table.collect()}
+    empty = {"present": 0, "mean": 0.0, "variance": 0.0, "median": 0.0}
+    return {c: ColumnStats(rows, *[(found[c] if c in found else empty)[k] or 0.0
+                                   for k in ("present", "mean", "variance", "median")]) for c in columns}
+
+
 @dataclass(frozen=True)
 class Preprocessor:
     """Learned values. ``medians`` leaves out columns without any value in the training rows."""
@@ -43,27 +86,23 @@ class Preprocessor:
     # -- fitting ------------------------------------------------------------------------------
     @staticmethod
     def fit(train: DataFrame, scale: bool, numeric: list[str] | None = None,
-            categorical: list[str] | None = None) -> "Preprocessor":
+            categorical: list[str] | None = None, small_group: int = SMALL_GROUP) -> "Preprocessor":
         found_numeric, found_categorical = predictor_columns(train)
         numeric = found_numeric if numeric is None else numeric
         categorical = found_categorical if categorical is None else categorical
-        rows = train.select(*[finite(c).alias(c) for c in numeric], *categorical)
-        medians = {}
-        if numeric:
-            medians = {r["column"]: r["_q0"] for r in column_quantiles(rows, numeric, [0.5]).collect()}
-        counts = rows.agg(F.count("*").alias("_all"), *[F.count(c).alias(c) for c in numeric]).first()
-        missing = [c for c in numeric if counts[c] < counts["_all"]]
-        categories, modes = category_levels(rows, categorical)
-        plain = Preprocessor(medians, missing, categories, modes)
+        categories, modes = category_levels(train, categorical)
+        if not numeric:
+            return Preprocessor({}, [], categories, modes)
+        stats = numeric_statistics(train, numeric, small_group)
+        known = [c for c in numeric if stats[c].present > 0]
+        missing = [c for c in numeric if stats[c].present < stats[c].rows]
+        medians = {c: stats[c].median for c in known}
         if not scale:
-            return plain
-        names = plain.numeric_outputs()
-        moments = plain.transform(rows, keep=[]).agg(
-            *[f(n).alias(f"{p}{i}") for i, n in enumerate(names)
-              for p, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-        centers = {n: moments[f"m{i}"] for i, n in enumerate(names)}
-        scales = {n: moments[f"s{i}"] if moments[f"s{i}"] > 1e-12 * max(1.0, abs(moments[f"m{i}"])) else 1.0
-                  for i, n in enumerate(names)}
+            return Preprocessor(medians, missing, categories, modes)
+        imputed = {c: stats[c].imputed() for c in known}
+        imputed.update({f"{c}_missing": stats[c].indicator() for c in missing})
+        centers = {n: center for n, (center, _) in imputed.items()}
+        scales = {n: s if s > 1e-12 * max(1.0, abs(centers[n])) else 1.0 for n, (_, s) in imputed.items()}
         return Preprocessor(medians, missing, categories, modes, centers, scales)
 
     # -- applying -----------------------------------------------------------------------------
@@ -88,6 +127,11 @@ class Preprocessor:
         keep = [c for c in NOT_PREDICTORS if c in df.columns] if keep is None else keep
         return df.select(*keep, *[e.alias(n) for n, e in self.expressions().items()])
 
+    @staticmethod
+    def identity(names: list[str]) -> "Preprocessor":
+        """For columns that are already preprocessed."""
+        return Preprocessor({n: 0.0 for n in names}, [], {}, {})
+
     def to_table(self, spark) -> DataFrame:
         """The learned values as rows, so a fitted preprocessor is stored like any other table."""
         rows = [("median", c, None, float(v)) for c, v in self.medians.items()]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outlast.functions.ordering import column_quantiles
+from outlast.functions.tails import chi2_tail
 from outlast.operators.cohort import distinct_days
 
 Z95 = 1.959963984540054
@@ -128,32 +129,11 @@ def logrank_test(df: DataFrame, groups: list[str], stratum: str = "stratum") ->
     """Multivariate log-rank test for two or three groups: statistic, degrees of freedom, p-value."""
     parts = logrank_parts(df, stratum, groups)
     if len(groups) == 2:
-        statistic, p = F.try_divide(F.pow("z0", 2), F.col("v00")), chi2_tail_1(F.col("chi2"))
+        statistic = F.try_divide(F.pow("z0", 2), F.col("v00"))
     elif len(groups) == 3:
         z0, z1, a, b, c = (F.col(x) for x in ("z0", "z1", "v00", "v01", "v11"))
         statistic = F.try_divide(z0 * z0 * c - z0 * z1 * b * 2 + z1 * z1 * a, a * c - b * b)
-        p = F.exp(-F.col("chi2") / 2)
     else:
         raise ValueError("log-rank is provided for two or three groups")
-    return parts.select(statistic.alias("chi2"), F.lit(len(groups) - 1).alias("df")).withColumn("p_value", p)
-
-
-def chi2_tail_1(x: Column) -> Column:
-    """Upper tail of chi-square with one degree of freedom.
-
-    erfc by its Maclaurin series below 6 and by its continued fraction above: one-row use only.
-    """
-    z = F.sqrt(x / 2)
-    terms = F.sequence(F.lit(1), F.lit(120))
-    # Series state: current term of sum z^(2k+1) (-1)^k / (k! (2k+1)).
-    series = F.aggregate(
-        terms, F.struct(z.alias("power"), z.alias("total")),
-        lambda s, k: F.struct(
-            (-s["power"] * z * z / k).alias("power"),
-            (s["total"] + (-s["power"] * z * z / k) / (k * 2 + 1)).alias("total")),
-        lambda s: s["total"])
-    fraction = F.aggregate(
-        F.sequence(F.lit(60), F.lit(1), F.lit(-1)), z, lambda tail, k: z + (k / 2) / tail)
-    root_pi = 1.7724538509055159
-    return F.when(x <= 0, F.lit(1.0)).when(x < 6, 1 - series * 2 / root_pi).otherwise(
-        F.exp(-z * z) / (fraction * root_pi))
+    return parts.select(statistic.alias("chi2"), F.lit(len(groups) - 1).alias("df")).withColumn(
+        "p_value", chi2_tail(F.col("chi2"), len(groups) - 1))

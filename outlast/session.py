@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,19 +25,24 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: what the cluster names, a scratch one only in local runs."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = context.getConf().get("spark.checkpoint.dir")
-    if shared is None:
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="run-")
-    context.setCheckpointDir(shared)
+        folder = tempfile.mkdtemp(prefix="run-")
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder, so lost executors cost one read."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    Plans over the result start at a parquet scan: columns are pruned, sizes are known to the join
+    planner, and a lost executor costs a re-read instead of a recomputation.
+    """
+    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
