@@ -25,7 +25,7 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: what the cluster names, a scratch one only in local runs."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
@@ -43,6 +43,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Plans over the result start at a parquet scan: columns are pruned, sizes are known to the join
     planner, and a lost executor costs a re-read instead of a recomputation.
     """
-    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
