@@ -457,7 +457,7 @@ def oracle_statements() -> dict[str, str]:
     cohort_times = ["ativacao_at", "landmark_at", "data_desfecho", "criacao_at", "onboarding_at", "suspensao_at",
                     "inativacao_at", "primeiro_login_at"]
     profile = ", ".join(r(c, c) if c in DOUBLES else c for c in PROFILE)
-    reputation = ", ".join(r(c, c) if not c.startswith("n_aval") else c for c in REPUTATION_INPUTS)
+    reputation = ", ".join(r(c, c) if not c.startswith("n_aval") else f"CAST({c} AS DOUBLE) AS {c}" for c in REPUTATION_INPUTS)
     q: dict[str, str] = {}
     q["csv_roundtrip"] = sql(["metrics"], f"SELECT modelo, fold, {rs(*METRICS)} FROM metrics")
     q["table_counts"] = sql(["taskers", "jobs", "incidents"], "\nUNION ALL ".join(
@@ -467,7 +467,7 @@ def oracle_statements() -> dict[str, str]:
     values = ["CAST(count(*) AS VARCHAR)", "CAST(count(*) FILTER (WHERE evento) AS VARCHAR)",
               "CAST(count(*) FILTER (WHERE NOT evento) AS VARCHAR)",
               "printf('%.1f%%', 100 * avg(CAST(evento AS INTEGER)))", "printf('%.0f', round_even(median(tempo), 0))",
-              "printf('%.0f', max(tempo))", f"'{len(NUMERIC) + len(TEXTS)}'"]
+              "printf('%.0f', max(tempo))", f"CAST({len(NUMERIC) + len(TEXTS)} + 0 * count(*) AS VARCHAR)"]
     q["descriptive_table"] = sql(["target"], "\nUNION ALL ".join(
         f"SELECT {i} AS ordem, '{a}' AS indicador, {v} AS valor FROM target" for i, (a, v) in enumerate(zip(labels, values))))
     q["milestones"] = sql(["taskers"], f"SELECT tasker_id, {MILESTONES} FROM taskers GROUP BY tasker_id")

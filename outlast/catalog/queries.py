@@ -30,7 +30,7 @@ from outlast.operators import survival as sv
 from outlast.plans import study
 from outlast.session import shared_folder, configure, cut_lineage
 from outlast.sources import schema, tables
-from outlast.sources.star import metrics_by_fold_view, star_tables
+from outlast.sources.star import metrics_by_fold_view, scan, star_tables
 
 RULES = co.CohortRules(cutoff="2001-11-01", purge_days=60, inactivity_days=60, landmark_days=180, city=None, state=None)
 RESIDENTS = co.CohortRules(cutoff="2001-11-01", purge_days=60, inactivity_days=60, landmark_days=180,
@@ -68,6 +68,11 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select([_round(c) if c in doubles else F.col(c) for c in df.columns])
 
 
+def _double_counts(df: DataFrame) -> DataFrame:
+    """Nullable integers as doubles: pandas has no other common form for them."""
+    return df.withColumns({c: F.col(c).cast("double") for c in schema.SCORE_COUNTS})
+
+
 # ---- shared inputs --------------------------------------------------------------------------
 
 def _cohort(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,14 +165,14 @@ def latest_profile(spark, sf):
 
 @query
 def normalize_text_documents(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = scan(spark, sf, "documents")
     plain = docs.select("doc_id", normalize_text(F.col("text")).alias("t"))
     return plain.select("doc_id", F.md5("t").alias("digest"), F.length("t").cast("bigint").alias("n_chars"))
 
 
 @query
 def normalize_text_regions(spark, sf):
-    regions = spark.read.parquet(f"{sf}/region.parquet")
+    regions = scan(spark, sf, "region")
     return regions.select("r_regionkey", normalize_text(F.col("r_name")).alias("name"))
 
 
@@ -197,12 +202,12 @@ def survival_target(spark, sf):
 def asof_snapshot(spark, sf):
     t = star_tables(spark, sf)
     target = co.survival_target(co.cohort_filter(co.milestones(t.taskers), RULES), t.jobs, t.incidents, RULES)
-    return rounded(co.asof_snapshot(t.taskers, target))
+    return rounded(_double_counts(co.asof_snapshot(t.taskers, target)))
 
 
 @query
 def cohort(spark, sf):
-    return rounded(_cohort(spark, sf))
+    return rounded(_double_counts(_cohort(spark, sf)))
 
 
 @query
@@ -619,9 +624,9 @@ def _formula_model() -> ip.ExpressionModel:
                               - F.coalesce("n_diarias", F.lit(0.0)) * 0.25)
 
 
-def _importance_like(spark, sf) -> DataFrame:
+def _importance_like(matrix: DataFrame) -> DataFrame:
     columns = ["pontualidade", "simpatia", "n_diarias", "idade", "taxa_preferencial"]
-    return long_columns(_matrix(spark, sf), columns).groupBy(F.col("column").alias("atributo")).agg(
+    return long_columns(matrix, columns).groupBy(F.col("column").alias("atributo")).agg(
         F.avg("value").alias("importancia_media"))
 
 
@@ -645,7 +650,8 @@ def partial_dependence(spark, sf):
 
 @query
 def pdp_targets(spark, sf):
-    return ip.pdp_targets(cut_lineage(_importance_like(spark, sf)), _matrix(spark, sf), study.PDP_FEATURES)
+    matrix = _matrix(spark, sf)
+    return ip.pdp_targets(_importance_like(matrix), matrix, study.PDP_FEATURES)
 
 
 @query

@@ -37,9 +37,12 @@ class CohortRules:
         return ntz(self.cutoff) - F.make_dt_interval(days=F.lit(self.purge_days))
 
 
-def latest_known(column: str, order: Iterable[str]) -> Column:
-    """Last non-null value of ``column`` in the given order (each column on its own)."""
-    return F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(*order))).alias(column)
+def latest_known(column: str, order: Iterable[str], when: Column | None = None) -> Column:
+    """Last non-null value of ``column`` in the given order (each column on its own), among the rows
+    where ``when`` holds."""
+    counts = F.col(column).isNotNull()
+    counts = counts if when is None else counts & when
+    return F.max_by(column, F.when(counts, F.struct(*order))).alias(column)
 
 
 def _history_order(history: DataFrame) -> list[str]:
@@ -150,21 +153,29 @@ def build_cohort(taskers: DataFrame, jobs: DataFrame, incidents: DataFrame, rule
                  profile_asof_landmark: bool = False) -> DataFrame:
     """The analysis cohort: target, milestones, profile, and reputation as of the landmark.
 
+    The history is read twice. A narrow pass finds milestones (and the residence, if it is filtered
+    on) and decides who is in the cohort; only their rows enter the wide pass that picks the latest
+    profile and the reputation known at the landmark. Target columns ride along as grouping columns,
+    so no join back is needed.
+
     The profile is the latest one by default; ``profile_asof_landmark`` reads it, too, as it was
     known at the landmark.
     """
-    activated = cohort_filter(lifecycle(taskers), rules)
+    order = _history_order(taskers)
+    residence = [] if rules.city is None else ["city", "state_uf"]
+    gates = taskers.groupBy(KEY).agg(*_milestone_columns(), *[latest_known(c, order) for c in residence])
+    activated = cohort_filter(gates, rules).drop(*residence)
     target = apply_outcome(with_activity(activated, jobs, incidents), rules,
                            F.lit(rules.inactivity_days), F.lit(rules.landmark_days))
-    asof = list(REPUTATION_INPUTS)
-    if profile_asof_landmark:
-        late = [c for c in PROFILE if c in taskers.columns]
-        target, asof = target.drop(*late), asof + late
-    snapshot = asof_snapshot(taskers, target, asof)
-    cohort = target.join(snapshot, KEY, "left")
     lead = [KEY, "tempo", "evento", "ativacao_at", "landmark_at", "data_desfecho"]
-    hidden = {"ultima_atividade_at", "involuntario"}
-    return cohort.select(*lead, *[c for c in cohort.columns if c not in hidden and c not in lead])
+    fixed = [*lead, *[c for c in gates.columns if c not in lead and c not in residence], "n_jobs_total"]
+    profile = [c for c in PROFILE if c in taskers.columns]
+    reputation = [c for c in REPUTATION_INPUTS if c in taskers.columns]
+    known = F.col("updated_at") <= F.col("landmark_at")
+    history = taskers.select(KEY, *dict.fromkeys([*order, *profile, *reputation]))
+    return target.select(*fixed).join(history, KEY).groupBy(*fixed).agg(
+        *[latest_known(c, order, known if profile_asof_landmark else None) for c in profile],
+        *[latest_known(c, order, known) for c in reputation])
 
 
 def distinct_days(cohort: DataFrame, by: Iterable[str] = ()) -> DataFrame:

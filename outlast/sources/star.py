@@ -15,8 +15,22 @@ from outlast.session import configure
 from outlast.sources.tables import Tables
 
 
-def _scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Declared, so that opening a table costs no footer-reading job.
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+                "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, "
+                "l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+}
+
+
+def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _coordinate(base: float, number) -> F.Column:
@@ -29,10 +43,10 @@ def taskers_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     disabled = (F.col("o_orderpriority") == "5-LOW") & (rev % 5 == 0)
     day = lambda n: F.make_dt_interval(days=n)
     score = lambda modulus, scale: 1 + (rev % modulus) / F.lit(float(scale))
-    rows = (_scan(spark, sf_dir, "orders")
-            .join(_scan(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-            .join(_scan(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-            .join(_scan(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")))
+    rows = (scan(spark, sf_dir, "orders")
+            .join(scan(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+            .join(scan(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(scan(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")))
     return rows.select(
         key.alias("tasker_id"), at.alias("updated_at"), rev.alias("rev"),
         F.when(status == "O", "onboarding").when(status == "P", "enabled")
@@ -68,8 +82,8 @@ def taskers_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _scan(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return _scan(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    orders = scan(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return scan(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def _line_id() -> F.Column:
@@ -108,7 +122,7 @@ def incidents_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metrics_by_fold_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model x fold metric table: order statuses play the models, key residues the folds."""
     price = F.col("o_totalprice")
-    return _scan(spark, sf_dir, "orders").groupBy(
+    return scan(spark, sf_dir, "orders").groupBy(
         F.col("o_orderstatus").alias("modelo"), (F.col("o_orderkey") % 10).cast("int").alias("fold")
     ).agg(
         (F.avg(price) / 500000).alias("c_uno"), (F.max(price) / 500000).alias("c_harrell"),
