@@ -114,11 +114,13 @@ def _formula_survival(test: DataFrame, times: DataFrame) -> DataFrame:
 
 
 def _evaluation(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Train and test sets censored at the horizon, and the evaluation times."""
+    """Train and (weighted) test rows censored at the horizon, and the evaluation times."""
     s = _split(_risky(spark, sf))
     times = cut_lineage(ev.evaluation_times(s.train, s.test))
     tau = times.select("tau").scalar()
-    return ev.admin_censor(s.train, tau), _formula_survival(ev.admin_censor(s.test, tau), times), times
+    train = ev.admin_censor(s.train, tau)
+    test = _formula_survival(ev.admin_censor(s.test, tau), times)
+    return train, cut_lineage(ev.with_weights(train, test)), times
 
 
 def _metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -457,17 +459,17 @@ def pair_counts(spark, sf):
 @query
 def uno_c(spark, sf):
     train, test, times = _evaluation(spark, sf)
-    return rounded(ev.uno_c(train, test, times.select("tau").scalar()))
+    return rounded(ev.uno_c(train, test.drop("g"), times.select("tau").scalar()))
 
 
 @query
 def auc_t(spark, sf):
-    return rounded(ev.auc_at(*_evaluation(spark, sf)))
+    return rounded(ev.auc_at(*_evaluation(spark, sf)[1:]))
 
 
 @query
 def auc_mean(spark, sf):
-    return rounded(ev.auc_mean(*_evaluation(spark, sf)))
+    return rounded(ev.auc_mean(*_evaluation(spark, sf)[1:]))
 
 
 @query
@@ -555,12 +557,12 @@ def random_search(spark, sf):
 
 @query
 def nested_cv(spark, sf):
-    return rounded(sel.nested_cv(_matrix(spark, sf), [sel.cox_spec({"alpha": [0.1, 10.0]})], n_folds=2, n_iter=2))
+    return rounded(sel.nested_cv(_matrix(spark, sf), [sel.cox_spec({"alpha": [0.1, 10.0]})], n_folds=2, n_iter=2, inner_folds=2))
 
 
 @query
 def final_fit(spark, sf):
-    return sel.final_fit(_matrix(spark, sf), [sel.cox_spec({"alpha": [0.1, 10.0]})], n_iter=2)[1]
+    return sel.final_fit(_matrix(spark, sf), [sel.cox_spec({"alpha": [0.1, 10.0]})], n_iter=2, inner_folds=2)[1]
 
 
 # ---- comparison -----------------------------------------------------------------------------

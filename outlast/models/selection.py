@@ -142,22 +142,23 @@ def score_fold(model, train: DataFrame, test: DataFrame, quantiles: Iterable[flo
 
 
 def nested_cv(matrix: DataFrame, specs: Iterable[ModelSpec], n_folds: int, n_iter: int, seed: int = 42,
-              quantiles: Iterable[float] = QUANTILES) -> DataFrame:
+              quantiles: Iterable[float] = QUANTILES, inner_folds: int = 3) -> DataFrame:
     """One metric row per (model, fold). Pass a written matrix: every fit scans it again."""
     folded = cut_lineage(stratified_folds(matrix, n_folds, seed))
     rows = []
     for spec in specs:
         for k in range(n_folds):
             train, test = folded.where(F.col("fold") != k).drop("fold"), folded.where(F.col("fold") == k).drop("fold")
-            found = random_search(train, spec, n_iter, seed)
+            found = random_search(train, spec, n_iter, seed, inner_folds)
             scores = score_fold(found.model, train, test, quantiles).first()
             rows.append((spec.name, k, *[scores[m] for m in METRICS]))
     return matrix.sparkSession.createDataFrame(rows, METRICS_DDL)
 
 
-def final_fit(matrix: DataFrame, specs: Iterable[ModelSpec], n_iter: int, seed: int = 42) -> tuple[dict, DataFrame]:
+def final_fit(matrix: DataFrame, specs: Iterable[ModelSpec], n_iter: int, seed: int = 42,
+              inner_folds: int = 3) -> tuple[dict, DataFrame]:
     """Search on all rows: the fitted models by name, and the table of winning parameters."""
-    found = {spec.name: random_search(matrix, spec, n_iter, seed) for spec in specs}
+    found = {spec.name: random_search(matrix, spec, n_iter, seed, inner_folds) for spec in specs}
     rows = [(name, json.dumps(s.params, sort_keys=True)) for name, s in found.items()]
     table = matrix.sparkSession.createDataFrame(rows, "modelo STRING, hiperparametros STRING")
     return {name: s.model for name, s in found.items()}, table

@@ -19,10 +19,24 @@ def predictor_columns(df: DataFrame, categorical: list[str] = CATEGORICAL,
     return [c for c in used if c not in categorical], [c for c in used if c in categorical]
 
 
+# Expressions are written as SQL text: one call to the JVM per column instead of a dozen.
+
+def _finite(column: str) -> str:
+    value = f"CAST(`{column}` AS DOUBLE)"
+    return f"CASE WHEN abs({value}) < double('Infinity') THEN {value} END"
+
+
+def _number(value: float) -> str:
+    return f"{float(value)!r}D"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def finite(column: str) -> Column:
     """The value as a double; null, NaN and infinities all count as missing."""
-    value = F.col(column).cast("double")
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
+    return F.expr(_finite(column))
 
 
 def _safe(name: str) -> str:
@@ -113,16 +127,24 @@ class Preprocessor:
         return self.numeric_outputs() + [
             f"{c}_{_safe(v)}" for c, levels in self.categories.items() for v in levels]
 
-    def expressions(self) -> dict[str, Column]:
-        """Output column name to expression over the raw predictors."""
-        raw = {c: F.coalesce(finite(c), F.lit(m)) for c, m in self.medians.items()}
-        raw.update({f"{c}_missing": finite(c).isNull().cast("double") for c in self.missing})
-        out = {n: (e - self.centers[n]) / self.scales[n] if n in self.centers else e for n, e in raw.items()}
+    def sql(self) -> dict[str, str]:
+        """Output column name to SQL expression over the raw predictors."""
+        out = {c: f"coalesce({_finite(c)}, {_number(m)})" for c, m in self.medians.items()}
+        out.update({f"{c}_missing": f"CAST(({_finite(c)}) IS NULL AS DOUBLE)" for c in self.missing})
+        for name in self.centers:
+            out[name] = f"({out[name]} - {_number(self.centers[name])}) / {_number(self.scales[name])}"
         for c, levels in self.categories.items():
-            filled = F.coalesce(F.col(c), F.lit(self.modes[c]))
-            out.update({f"{c}_{_safe(v)}": (filled == v).cast("double") for v in levels})
+            filled = f"coalesce(`{c}`, {_quoted(self.modes[c])})"
+            out.update({f"{c}_{_safe(v)}": f"CAST({filled} = {_quoted(v)} AS DOUBLE)" for v in levels})
         return out
 
+    def expressions(self) -> dict[str, Column]:
+        return {name: F.expr(text) for name, text in self.sql().items()}
+
+    def weighted_sum(self, weights: dict[str, float]) -> Column:
+        outputs = self.sql()
+        return F.expr(" + ".join(f"({outputs[n]}) * {_number(w)}" for n, w in weights.items()) or "0.0D")
+
     def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         keep = [c for c in NOT_PREDICTORS if c in df.columns] if keep is None else keep
         return df.select(*keep, *[e.alias(n) for n, e in self.expressions().items()])
