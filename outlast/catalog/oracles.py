@@ -267,7 +267,7 @@ def folds(source: str, k: int, by: str = "", seed: int = 42) -> str:
     first = f"(((tasker_id + {seed * 7919 + 1}) % {PRIME}) * 48271) % {PRIME}"
     partition = f"PARTITION BY {by} " if by else ""
     return f"""SELECT * EXCLUDE (h1), CAST((row_number() OVER ({partition}ORDER BY
-  ((h1 + (h1 >> 16)) % {PRIME}) * 48271 % {PRIME}, tasker_id) - 1) % {k} AS INTEGER) AS fold
+  (h1 * h1) % {PRIME}, tasker_id) - 1) % {k} AS INTEGER) AS fold
 FROM (SELECT *, {first} AS h1 FROM {source})"""
 
 
