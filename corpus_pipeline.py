@@ -14,16 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from outlast.llm import langid, neardup, packing, quality
 from outlast.llm.queries import table, word_tokenizer
-from outlast.session import configure, cut_lineage
+from outlast.llm.settings import configure
+from outlast.session import cut_lineage
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents that the byte network rejects go."""
+    configure(spark)
     return langid.keep_known_language(docs, langid.fit_languages(docs))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents that the classifier rejects go."""
+    configure(spark)
     return quality.keep_good(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
@@ -35,6 +38,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: what is left, packed into sequences of at most 4096 tokens."""
+    configure(spark)
     return packing.pack(docs, word_tokenizer())
 
 

@@ -30,7 +30,7 @@ FAN_IN = 64
 TOP_UP = 40  # free places above which an emitted window is topped up with a cut piece
 END_ID = 2
 PARTITION_BITS = 36  # of a sequence id: windows of one partition
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")

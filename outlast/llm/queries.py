@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from outlast.llm import langid, neardup, packing, quality
-from outlast.session import configure
+from outlast.llm import fingerprints, hnsw, langid, lm, neardup, packing, pieces, quality, token_counts, warc
+from outlast.llm.settings import configure
+from outlast.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,10 +29,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def word_tokenizer() -> str:
+def vocabulary_file(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+def word_tokenizer() -> str:
+    return vocabulary_file("word_bpe_49k.json")
+
+
+@query
+def op1_hnsw_nearest(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(rows, F.col("vec_id") % 20 == 0, neighbours=20)
 
 
 @query
@@ -43,12 +56,54 @@ def op3_quality_classifier(spark, sf_dir):
     return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op4_deleted_interpolation(spark, sf_dir):
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_consistent_weighted_sampling(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit_languages(docs))
 
 
+@query
+def op7_warc_zstd(spark, sf_dir):
+    folder = f"{shared_folder(spark)}/warc-{uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder).drop("path", "url")
+
+
+def edits_of(docs: DataFrame) -> DataFrame:
+    """Four edits for every document: words changed, words repeated, an end added, a beginning cut."""
+    size = F.length(F.coalesce("text", F.lit("")))
+
+    def edit(at, cut, put):
+        return F.struct(F.floor(at).cast("int").alias("at"), F.lit(cut).alias("cut"), put.alias("put"))
+
+    return docs.select("doc_id", "text", F.array(
+        edit(size / 3, 12, F.lit(" changed  words")), edit(size * 2 / 3, 0, F.coalesce(F.substring("text", 1, 20), F.lit(""))),
+        edit(size, 0, F.lit("\nThe end.")), edit(F.lit(0), 3, F.lit(""))).alias("edits"))
+
+
+@query
+def op8_edit_aware_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return token_counts.edited_counts(edits_of(table(spark, sf_dir, "documents")),
+                                      vocabulary_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op9_aho_corasick_pieces(spark, sf_dir):
+    return pieces.round_trip(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
+
+
 @query
 def op10_bounded_space_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
@@ -78,3 +133,17 @@ SELECT d.doc_id, len(d.s) AS n_shingles,
        coalesce(d.doc_id = CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE l.label END, false) AS kept
 FROM sets d LEFT JOIN classes c ON list_sort(d.s) = c.s LEFT JOIN labels l ON c.class = l.class
 """
+
+ORACLES["op7_warc_zstd"] = r"""
+WITH hashed AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h,
+           min(page_id) OVER (PARTITION BY sha1(coalesce(html, ''))) AS first_id
+    FROM pages)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(
+           list_transform(range(5), lambda b: ((strpos('0123456789abcdef', substr(h, 1 + (i * 5 + b) // 4, 1)) - 1)
+                                               >> (3 - (i * 5 + b) % 4)::INT & 1) << (4 - b)::INT)) AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM hashed
+"""

@@ -45,7 +45,7 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], name: str = "text",
-                limit: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+                limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with about ``limit`` bytes of text, one row at least."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(column(batch, name)), 0).to_numpy(zero_copy_only=False))
