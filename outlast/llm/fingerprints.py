@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outlast.functions.ordering import slot_of
+from outlast.session import cut_lineage
 
 SAMPLES = 32
 BUCKET_BYTES = 4 << 20
@@ -86,7 +87,7 @@ def _bucketed(docs: DataFrame) -> DataFrame:
     upward = Window.partitionBy(F.lit(0)).orderBy("bucket")
     ends = tops.select("bucket", "top", F.lead("bucket").over(upward).alias("above"),
                        F.min("bucket").over(Window.partitionBy(F.lit(0))).alias("lowest"))
-    ends = ends.select("bucket", "top", F.coalesce("above", "lowest").alias("before"))
+    ends = cut_lineage(ends.select("bucket", "top", F.coalesce("above", "lowest").alias("before")))
     here = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))
     there = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guest"))
     placed = rows.join(F.broadcast(ends), "bucket").select(
