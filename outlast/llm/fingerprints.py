@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outlast.functions.ordering import slot_of
-from outlast.session import cut_lineage
 
 SAMPLES = 32
 BUCKET_BYTES = 4 << 20
@@ -82,17 +81,16 @@ def _bucketed(docs: DataFrame) -> DataFrame:
     shares = [i / buckets for i in range(1, buckets)]
     bounds = rows.agg(F.percentile_approx("id", shares, 4 * buckets)).first()[0] or [0] * (buckets - 1)
     rows = rows.withColumn("bucket", slot_of(F.col("id"), F.lit(bounds).cast("array<bigint>"), buckets - 1).cast("int"))
-    # At most one row per bucket from here to the broadcast.
-    tops = rows.groupBy("bucket").agg(F.max("id").alias("top"))
-    upward = Window.partitionBy(F.lit(0)).orderBy("bucket")
-    ends = tops.select("bucket", "top", F.lead("bucket").over(upward).alias("above"),
-                       F.min("bucket").over(Window.partitionBy(F.lit(0))).alias("lowest"))
-    ends = cut_lineage(ends.select("bucket", "top", F.coalesce("above", "lowest").alias("before")))
+    # One number per bucket reaches the driver: the largest id there, which precedes the next bucket's end.
+    found = {r["bucket"]: r["top"] for r in rows.groupBy("bucket").agg(F.max("id").alias("top")).collect()}
+    filled = sorted(found)
+    above = dict(zip(filled, filled[1:] + filled[:1]))
+    top, before = (F.get(F.lit([t.get(i, FIRST_ID) for i in range(buckets)]).cast("array<bigint>"), F.col("bucket"))
+                   for t in (found, above))
     here = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))
-    there = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guest"))
-    placed = rows.join(F.broadcast(ends), "bucket").select(
-        "id", "doc_id", "text", F.explode(F.when(F.col("id") == F.col("top"), F.array(here, there))
-                                          .otherwise(F.array(here))).alias("place"))
+    there = F.struct(before.cast("int").alias("bucket"), F.lit(True).alias("guest"))
+    placed = rows.select("id", "doc_id", "text", F.explode(
+        F.when(F.col("id") == top, F.array(here, there)).otherwise(F.array(here))).alias("place"))
     dealt = placed.select("place.bucket", "place.guest", "id", "doc_id", "text").repartition(buckets, "bucket")
     following = Window.partitionBy("bucket").orderBy("guest", F.desc("id"), F.xxhash64("text"), "text")
     return dealt.select("bucket", "guest", "doc_id", "text", F.row_number().over(following).alias("place"),
