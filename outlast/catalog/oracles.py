@@ -5,7 +5,9 @@ Statements are assembled from named common table expressions; each lists the one
 
 from __future__ import annotations
 
-from outlast.catalog.queries import IMPUTED, MONEY
+import json
+
+from outlast.catalog.queries import IMPUTED, MONEY, RULES
 from outlast.sources.schema import CATEGORICAL, METRICS, REPUTATION, REPUTATION_INPUTS, SERVICES, ZERO_WHEN_ABSENT
 
 CUT = "TIMESTAMP '2001-09-02 00:00:00'"
@@ -263,6 +265,11 @@ NUMERIC = [c for c in [*OWN, *WINDOW_ALL, *LATE] if c not in TEXTS]
 
 # ---- folds, preprocessing -------------------------------------------------------------------
 
+def shuffled(seed: int, salt: str = "0") -> str:
+    first = f"((((tasker_id + {seed * 7919 + 1} + ({salt}) * 15485863) % {PRIME}) * 48271) % {PRIME})"
+    return f"({first} * {first}) % {PRIME}"
+
+
 def folds(source: str, k: int, by: str = "", seed: int = 42) -> str:
     first = f"(((tasker_id + {seed * 7919 + 1}) % {PRIME}) * 48271) % {PRIME}"
     partition = f"PARTITION BY {by} " if by else ""
@@ -303,7 +310,7 @@ SELECT tasker_id, i.feature, (value - center) / CASE WHEN spread > 1e-12 * great
 part("levels", ["folded"], "\nUNION ALL ".join(
     f"SELECT '{c}' AS feature, {c} AS level, count(*) AS n FROM folded WHERE fold <> 0 AND {c} IS NOT NULL GROUP BY {c}"
     for c in CATEGORICAL))
-part("modes", ["levels"], "SELECT feature, arg_max(level, struct_pack(n := n, l := -ord(level))) AS mode FROM levels GROUP BY feature")
+part("modes", ["levels"], "SELECT feature, level AS mode FROM levels QUALIFY row_number() OVER (PARTITION BY feature ORDER BY n DESC, level) = 1")
 part("texts", ["folded"], "\nUNION ALL ".join(
     f"SELECT tasker_id, '{c}' AS feature, {c} AS level FROM folded" for c in CATEGORICAL))
 part("hot", ["texts", "levels", "modes"], r"""
@@ -348,6 +355,9 @@ FROM ({risk_sets(f'''(SELECT stratum, tempo, CAST(count(*) AS BIGINT) AS n, CAST
   FROM {source} GROUP BY stratum, tempo)''', "stratum")})""")
 
 
+SIMPSON = 2000  # intervals of the normal integral
+
+
 def logrank(source: str, groups: list[str]) -> str:
     g = range(len(groups))
     counts = ", ".join(f"count(*) FILTER (WHERE stratum = '{x}') AS n{i}, count(*) FILTER (WHERE stratum = '{x}' AND evento) AS d{i}"
@@ -359,7 +369,9 @@ def logrank(source: str, groups: list[str]) -> str:
     v = ", ".join(f"sum(CASE WHEN r > 1 THEN d * (r - d) / (r - 1) * (r{i} / r) * ({1 if i == j else 0} - r{j} / r) ELSE 0.0 END) AS v{i}{j}"
                   for i in free for j in free if j >= i)
     if len(groups) == 2:
-        chi2, tail = "z0 * z0 / v00", None
+        chi2, step = "z0 * z0 / v00", f"sqrt(z0 * z0 / v00) / {SIMPSON}"
+        tail = f"""1 - 2 * {step} / 3 / sqrt(2 * pi()) * list_sum(list_transform(range({SIMPSON} + 1), lambda i:
+    (CASE WHEN i IN (0, {SIMPSON}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(i * {step}, 2) / 2)))"""
     else:
         chi2 = "(z0 * z0 * v11 - 2 * z0 * z1 * v01 + z1 * z1 * v00) / (v00 * v11 - v01 * v01)"
         tail = f"exp(-({chi2}) / 2)"
@@ -533,7 +545,8 @@ FROM jobs j JOIN lifecycle h ON j.tasker_id = h.tasker_id""")
   {r('sum(d / CAST(at_risk AS DOUBLE)) OVER (ORDER BY tempo ROWS UNBOUNDED PRECEDING)', 'cum_hazard')} FROM risk""")
     q["km_by_median_split"] = stratified_km("loyal")
     q["km_by_tercile"] = stratified_km("bonus")
-    q["logrank_2"] = logrank("loyal", ["low", "high"])
+    q["logrank_2_p"] = logrank("loyal", ["low", "high"])
+    q["logrank_2"] = f"SELECT chi2, df FROM ({q['logrank_2_p']})"
     q["logrank_3"] = logrank("bonus", ["low", "mid", "high"])
 
     q["eval_horizon"] = sql(["span"], "SELECT low, tau, max_censored FROM span")
@@ -544,6 +557,9 @@ FROM jobs j JOIN lifecycle h ON j.tasker_id = h.tasker_id""")
     even = "CAST(count(*) FILTER (WHERE a.risk = b.risk) AS BIGINT)"
     q["harrell_c"] = sql(["risky"], f"""SELECT CAST(count(*) AS BIGINT) AS comparable, {wins} AS concordant, {even} AS tied,
   {r(f"({wins} + {even} / 2.0) / count(*)", "c_harrell")} {pairs}""")
+    quartered = "(SELECT * REPLACE (tempo + tasker_id % 4 / 4.0 AS tempo) FROM risky)"
+    q["harrell_c_fractional"] = sql(["risky"], f"""SELECT CAST(count(*) AS BIGINT) AS comparable, {wins} AS concordant, {even} AS tied,
+  {r(f"({wins} + {even} / 2.0) / count(*)", "c_harrell")} FROM {quartered} a JOIN {quartered} b ON a.evento AND {PAIR}""")
     q["pair_counts"] = sql(["risky"], f"""SELECT e.tempo, coalesce(comparable, 0) AS comparable, coalesce(concordant, 0) AS concordant,
   coalesce(tied, 0) AS tied FROM (SELECT DISTINCT tempo FROM risky WHERE evento) e LEFT JOIN (
   SELECT a.tempo, CAST(count(*) AS BIGINT) AS comparable, {wins} AS concordant, {even} AS tied {pairs} GROUP BY a.tempo) p
@@ -584,6 +600,39 @@ ON x.tempo = y.tempo""")
     q["compare_models"] = sql(["ibs_friedman", "shape"], f"""SELECT 'ibs' AS metrica, round(statistic, 4) AS friedman_estat,
   round(exp(-statistic / 2), 4) AS friedman_p, round({CD}, 4) AS distancia_critica FROM ibs_friedman, shape""")
 
+    q["hash_sample"] = sql(["target"], f"""SELECT tasker_id, tempo, evento FROM target
+ORDER BY {shuffled(42)}, tasker_id LIMIT 100""")
+    pieces = " || ".join(["'{\"modelo\":\"' || modelo || '\"'"] + [
+        f"',\"{m}_{s}\":' || CAST(round({f}({m}), 4) AS VARCHAR)" for m in METRICS for s, f in (("mean", "avg"), ("std", "stddev_samp"))]
+        + ["'}'"])
+    config = json.dumps({"rules": vars(RULES)}, default=str, ensure_ascii=False, sort_keys=True).replace("'", "''")
+    q["run_log"] = sql(["metrics"], f"""SELECT 'treino_avaliacao' AS nome, '{config}' AS config,
+  '[' || string_agg(piece, ',' ORDER BY modelo) || ']' AS metricas FROM (SELECT modelo, {pieces} AS piece FROM metrics GROUP BY modelo)""")
+    swapped = ["pontualidade", "taxa_preferencial", "n_diarias", "idade"]
+    donors = "\nUNION ALL ".join(f"""SELECT '{f}' AS atributo, rep, {f} AS donated,
+  row_number() OVER (PARTITION BY rep ORDER BY {shuffled(42, f'{i} * 10 + rep + 1')}, tasker_id) AS rk FROM matrix, (SELECT unnest(range(10)) AS rep)"""
+                               for i, f in enumerate(swapped))
+    mixed = RISK
+    for f in swapped[:3]:
+        mixed = mixed.replace(f"coalesce({f},", f"coalesce(CASE WHEN atributo = '{f}' THEN donated ELSE {f} END,")
+    c = lambda of: f"""(SELECT {of} sum(CASE WHEN a.risk > b.risk THEN 1.0 WHEN a.risk = b.risk THEN 0.5 ELSE 0.0 END) / count(*) AS c"""
+    q["permutation_importance"] = sql(["matrix"], f"""
+SELECT atributo, {r('avg(plain - c)', 'importancia_media')}, {r('stddev_pop(plain - c)', 'importancia_desvio')} FROM (
+  WITH takers AS (SELECT *, row_number() OVER (ORDER BY {shuffled(42)}, tasker_id) AS rk FROM matrix),
+  donors AS ({donors}),
+  scored AS (SELECT atributo, rep, tempo, evento, {mixed} AS risk FROM takers JOIN donors USING (rk)),
+  base AS (SELECT tempo, evento, {RISK} AS risk FROM matrix)
+  SELECT * FROM {c('a.atributo, a.rep,')} FROM scored a JOIN scored b ON a.atributo = b.atributo AND a.rep = b.rep AND a.evento AND {PAIR}
+    GROUP BY a.atributo, a.rep), {c('').replace(' AS c', ' AS plain')} FROM base a JOIN base b ON a.evento AND {PAIR})) GROUP BY atributo""")
+    x = lambda f: f"coalesce(s.{f}, 0.0)"
+    z = lambda f: f"coalesce(b.{f}, 0.0)"
+    one, two, three = swapped[:3]
+    credits = {one: f"({x(one)} - {z(one)}) * ({x(two)} + {z(two)}) / 2", two: f"({x(two)} - {z(two)}) * ({x(one)} + {z(one)}) / 2",
+               three: f"-0.25 * ({x(three)} - {z(three)})"}
+    q["shapley_mean_abs"] = sql(["matrix"], "\nUNION ALL ".join(f"""
+SELECT '{f}' AS atributo, {r('avg(abs(phi))', 'importancia')} FROM (SELECT s.tasker_id, avg({e}) AS phi FROM
+  (SELECT * FROM matrix ORDER BY {shuffled(43)}, tasker_id LIMIT 100) s, (SELECT * FROM matrix ORDER BY {shuffled(42)}, tasker_id LIMIT 50) b
+  GROUP BY s.tasker_id)""" for f, e in credits.items()))
     q["top_k_importance"] = sql(["metrics"], f"""SELECT modelo || '-' || fold AS atributo, {r('c_uno', 'importancia_media')}
 FROM metrics ORDER BY c_uno DESC, modelo || '-' || fold LIMIT 15""")
     q["partial_dependence"] = sql(["matrix"], f"""

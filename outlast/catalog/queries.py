@@ -139,7 +139,7 @@ def csv_roundtrip(spark, sf):
 @query
 def run_log(spark, sf):
     return tables.log_run("treino_avaliacao", {"rules": vars(RULES)}, cp.metric_summary(_metrics(spark, sf)),
-                          f"{shared_folder(spark)}/{uuid4().hex}")
+                          f"{shared_folder(spark)}/{uuid4().hex}").drop("carimbo")
 
 
 @query
@@ -284,19 +284,19 @@ def service_scores(spark, sf):
 
 @query
 def window_jobs(spark, sf):
-    rows = ft.window_jobs(_cohort(spark, sf), star_tables(spark, sf).jobs)
+    rows = ft.window_jobs(cut_lineage(_cohort(spark, sf)), star_tables(spark, sf).jobs)
     return rounded(rows.select("tasker_id", "job_id", "job_date", "final_payout", "distancia_km",
                                "antecedencia_confirmacao_dias"))
 
 
 @query
 def window_productivity(spark, sf):
-    return rounded(ft.window_productivity(_cohort(spark, sf), star_tables(spark, sf).jobs))
+    return rounded(ft.window_productivity(cut_lineage(_cohort(spark, sf)), star_tables(spark, sf).jobs))
 
 
 @query
 def genuine_rating(spark, sf):
-    return rounded(ft.genuine_rating(_cohort(spark, sf), star_tables(spark, sf).jobs))
+    return rounded(ft.genuine_rating(cut_lineage(_cohort(spark, sf)), star_tables(spark, sf).jobs))
 
 
 @query
@@ -306,7 +306,7 @@ def distance_stats(spark, sf):
 
 @query
 def conduct_features(spark, sf):
-    return rounded(ft.conduct_features(_cohort(spark, sf), star_tables(spark, sf).incidents))
+    return rounded(ft.conduct_features(cut_lineage(_cohort(spark, sf)), star_tables(spark, sf).incidents))
 
 
 @query
@@ -451,6 +451,12 @@ def harrell_c(spark, sf):
     return rounded(cc.harrell_c(_risky(spark, sf)))
 
 
+@query
+def harrell_c_fractional(spark, sf):
+    quarters = F.col("tempo") + F.col("tasker_id") % 4 / 4
+    return rounded(cc.harrell_c(_risky(spark, sf).withColumn("tempo", quarters)))
+
+
 @query
 def pair_counts(spark, sf):
     return cc.pair_counts(_risky(spark, sf)).select("tempo", "comparable", "concordant", "tied")
@@ -635,7 +641,7 @@ def _importance_like(matrix: DataFrame) -> DataFrame:
 @query
 def permutation_importance(spark, sf):
     return rounded(ip.permutation_importance(
-        _formula_model(), _matrix(spark, sf), ["pontualidade", "taxa_preferencial", "n_diarias", "idade"], 3))
+        _formula_model(), _matrix(spark, sf), ["pontualidade", "taxa_preferencial", "n_diarias", "idade"]))
 
 
 @query

@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 # Fixed values of the multiplicative ("minimal standard") generator: a prime and a primitive root.
 PRIME = 2147483647
 ROOT = 48271
+SALT = 15485863  # another prime
 
 
-def shuffle_key(key: Column, seed: int = 0) -> Column:
+def shuffle_key(key: Column, seed: int = 0, salt: Column | int = 0) -> Column:
     """Spread an integer key over [0, PRIME) with plain arithmetic, so any SQL engine can repeat it.
 
     The square breaks the lattice on which the multiplication alone would keep neighbouring keys.
+    ``salt`` gives further orders of the same keys.
     """
-    first = F.pmod(F.pmod(key.cast("bigint") + F.lit(seed * 7919 + 1), F.lit(PRIME)) * ROOT, F.lit(PRIME))
+    salted = key.cast("bigint") + F.lit(seed * 7919 + 1)
+    if not isinstance(salt, int) or salt:
+        salted = salted + (F.lit(salt) if isinstance(salt, int) else salt) * SALT
+    first = F.pmod(F.pmod(salted, F.lit(PRIME)) * ROOT, F.lit(PRIME))
     return F.pmod(first * first, F.lit(PRIME))
 
 
@@ -25,11 +30,14 @@ def unit_uniform(*parts: Column) -> Column:
 
 
 def poisson_one(uniform: Column) -> Column:
-    """A Poisson(1) draw by inversion: the bootstrap multiplicity of a row."""
+    """A Poisson(1) draw by inversion: the bootstrap multiplicity of a row.
+
+    The 53 bits of a uniform tell counts up to 18 apart; anything above would be rounded to 1.
+    """
     density, total = 0.36787944117144233, 0.36787944117144233  # exp(-1)
     draw = F.when(uniform < total, 0)
-    for count in range(1, 9):
+    for count in range(1, 19):
         density /= count
         total += density
         draw = draw.when(uniform < total, count)
-    return draw.otherwise(9)
+    return draw.otherwise(19)

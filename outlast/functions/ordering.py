@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from outlast.functions.hashing import PRIME
 
 SKETCH_ACCURACY = 10_000
-SMALL_GROUP = 100_000
+SMALL_GROUP = 100_000  # ranks of a group this small are not bracketed, all its values are counted
+SLICE_ROWS = 1_000_000
+LEAST_SLICES = 64
 
 
 def _bracket_probs(probs: Sequence[float]) -> list[float]:
@@ -80,15 +82,24 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     return grouped_quantiles(long_columns(df, columns), ["column"], "value", probs, small_group)
 
 
+def slices_for(df: DataFrame) -> int:
+    """A power of two, so that a slice of evenly spread rows holds about SLICE_ROWS at most."""
+    rows, slices = df.count(), LEAST_SLICES
+    while slices * SLICE_ROWS < rows:
+        slices *= 2
+    return slices
+
+
 def number_rows(df: DataFrame, hashed: Column, tiebreak: Column, by: Sequence[str] = (),
-                name: str = "_rank", slices: int = 256) -> DataFrame:
+                name: str = "_rank", slices: int | None = None) -> DataFrame:
     """1-based row number per ``by`` group in order of (hashed, tiebreak).
 
     ``hashed`` must be spread evenly over [0, PRIME): the range is cut into equal slices, rows are
     numbered inside a slice and shifted by the row counts of the slices before it. No task sees
-    more than one slice, and the offset table has one row per group and slice.
+    more than one slice, and the offset table has one row per group and slice. Without ``slices``
+    their number follows from a count of ``df``.
     """
-    by = list(by)
+    by, slices = list(by), slices or slices_for(df)
     sliced = df.withColumn("_h", hashed).withColumn(
         "_slice", F.floor(F.col("_h") * slices / F.lit(PRIME)).cast("int"))
     sizes = sliced.groupBy(*by, "_slice").agg(F.count("*").alias("_size"))

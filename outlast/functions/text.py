@@ -6,12 +6,12 @@ import sys
 import unicodedata
 
 import pandas as pd
-import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-_MARKS = regex.compile(r"\p{Mn}+")
+def _without_marks(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
 
 
 def plain(text: str | None) -> str:
@@ -20,7 +20,7 @@ def plain(text: str | None) -> str:
         return ""
     lowered = text.lower()
     if not lowered.isascii():
-        lowered = _MARKS.sub("", unicodedata.normalize("NFD", lowered))
+        lowered = _without_marks(lowered)
     return lowered.strip()
 
 
@@ -45,7 +45,7 @@ def _single_letter_folds() -> tuple[str, str]:
             continue
         if not unicodedata.decomposition(letter) or letter != letter.lower():
             continue
-        folded = _MARKS.sub("", unicodedata.normalize("NFD", letter))
+        folded = _without_marks(letter)
         if folded != letter and len(folded) == 1:
             accented.append(letter)
             base.append(folded)

@@ -81,7 +81,7 @@ def quick_registry(seed: int = 42) -> dict[str, ModelSpec]:
 # ---- folds ----------------------------------------------------------------------------------
 
 def assign_folds(df: DataFrame, k: int, seed: int = 42, stratify: str | None = "evento",
-                 key: str = "tasker_id", name: str = "fold", slices: int = 256) -> DataFrame:
+                 key: str = "tasker_id", name: str = "fold", slices: int | None = None) -> DataFrame:
     """Shuffled folds of equal size, within each class of ``stratify`` when given."""
     by = [stratify] if stratify else []
     ranked = number_rows(df, shuffle_key(F.col(key), seed), F.col(key), by, "_rank", slices)

@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 from outlast.functions.ordering import grouped_quantiles
 from outlast.functions.scalar import (age_years, haversine_km, is_true, non_negative, ntz,
                                       ratio_or_zero, whole_days)
-from outlast.operators.cohort import KEY, last_activity
+from outlast.operators.cohort import KEY
+from outlast.session import cut_lineage
 from outlast.sources.schema import REPUTATION, SCORE_COUNTS, SCORES, ZERO_WHEN_ABSENT
 
 AGE_REFERENCE = "2026-01-01"
-# Above this many jobs a key's exact quantiles leave the one-task path.
-HOT_KEY_ROWS = 1_000_000
 
 
 # ---- profile, funnel, identity: projections of the cohort -----------------------------------
@@ -118,15 +117,23 @@ def service_scores(cohort: DataFrame) -> DataFrame:
 
 # ---- facts inside [activation, landmark] -----------------------------------------------------
 
-def _windows(cohort: DataFrame, *extra: str) -> DataFrame:
+def _windows(cohort: DataFrame, *extra: Column) -> DataFrame:
     return cohort.select(KEY, "ativacao_at", "landmark_at", *extra)
 
 
-def window_jobs(cohort: DataFrame, jobs: DataFrame, *carry: str) -> DataFrame:
+def _dated(facts: DataFrame, date: str, cohort: DataFrame) -> DataFrame:
+    """Facts between the first activation and the last landmark: a bound that reaches the scan.
+
+    The cohort is read once more for it, so pass a written one.
+    """
+    span = cohort.agg(F.min("ativacao_at").alias("first"), F.max("landmark_at").alias("last"))
+    return facts.where((F.col(date) >= span.select("first").scalar()) & (F.col(date) <= span.select("last").scalar()))
+
+
+def window_jobs(cohort: DataFrame, jobs: DataFrame) -> DataFrame:
     """Jobs dated inside the professional's window, both ends included, with derived measures."""
-    homes = _windows(cohort, F.col("latitude").alias("_home_lat"), F.col("longitude").alias("_home_lon"),
-                     *carry)
-    inside = jobs.join(homes, KEY).where(F.col("job_date").between(F.col("ativacao_at"), F.col("landmark_at")))
+    homes = _windows(cohort, F.col("latitude").alias("_home_lat"), F.col("longitude").alias("_home_lon"))
+    inside = _dated(jobs, "job_date", cohort).join(homes, KEY).where(F.col("job_date").between(F.col("ativacao_at"), F.col("landmark_at")))
     rows = inside.withColumn("distancia_km", haversine_km(
         F.col("_home_lat"), F.col("_home_lon"), F.col("latitude"), F.col("longitude")))
     if "confirmed_at" in jobs.columns:
@@ -137,7 +144,7 @@ def window_jobs(cohort: DataFrame, jobs: DataFrame, *carry: str) -> DataFrame:
 
 def window_incidents(cohort: DataFrame, incidents: DataFrame) -> DataFrame:
     """Non-critical incidents inside the window. Critical ones decide censoring, never a predictor."""
-    inside = incidents.where(~is_true(F.col("disable_tasker"))).join(_windows(cohort), KEY)
+    inside = _dated(incidents.where(~is_true(F.col("disable_tasker"))), "incident_at", cohort).join(_windows(cohort), KEY)
     return inside.where(F.col("incident_at").between(F.col("ativacao_at"), F.col("landmark_at"))).drop(
         "ativacao_at", "landmark_at")
 
@@ -178,46 +185,30 @@ def productivity_aggregates(rows: DataFrame) -> list[Column]:
     return aggs
 
 
-def distance_aggregates(exact_here: Column) -> list[Column]:
-    """Distance statistics; the two quantiles only for keys whose values one task may hold."""
+def distance_aggregates() -> list[Column]:
+    """Distance statistics but for the two quantiles."""
     return [
         F.avg("distancia_km").alias("distancia_media_km"),
-        F.percentile(F.when(exact_here, F.col("distancia_km")), F.array(F.lit(0.5), F.lit(0.9))).alias("_q"),
         F.max("distancia_km").alias("distancia_max_km"),
         F.stddev_samp("distancia_km").alias("distancia_desvio_km"),
     ]
 
 
-def _with_job_counts(cohort: DataFrame, jobs: DataFrame) -> DataFrame:
-    if "n_jobs_total" in cohort.columns:
-        return cohort
-    return cohort.join(last_activity(jobs).select(KEY, "n_jobs_total"), KEY, "left")
-
-
 def _per_key(cohort: DataFrame, jobs: DataFrame, blocks: Iterable[Callable[[DataFrame], list[Column]]],
-             hot_key_rows: int | None = None) -> DataFrame:
-    """Aggregate the window jobs per key in one pass.
+             with_distance: bool = False) -> DataFrame:
+    """Aggregate the window jobs per key.
 
-    With ``hot_key_rows`` the distance block is included. Its exact quantiles hold a key's distinct
-    values in one task, so keys with more jobs than that get theirs from the sketch-and-refine path
-    instead; that path is only planned when such keys exist.
+    With the distance block the window jobs, a small part of all, are written and read twice: the
+    exact quantiles come from the sketch-and-refine path, which holds no key's values in one task.
     """
-    if hot_key_rows is None:
-        rows = window_jobs(cohort, jobs)
+    rows = window_jobs(cohort, jobs)
+    if not with_distance:
         return rows.groupBy(KEY).agg(*[c for block in blocks for c in block(rows)])
-    counted = _with_job_counts(cohort, jobs)
-    hot = counted.where(F.col("n_jobs_total") > hot_key_rows)
-    rows = window_jobs(counted, jobs, "n_jobs_total")
-    one_task = F.coalesce(F.col("n_jobs_total"), F.lit(0)) <= hot_key_rows
-    stats = rows.groupBy(KEY).agg(
-        *[c for block in blocks for c in block(rows)], *distance_aggregates(one_task))
-    middle, upper = F.col("_q")[0], F.col("_q")[1]
-    if hot.head(1):
-        spread = grouped_quantiles(window_jobs(hot, jobs), [KEY], "distancia_km", [0.5, 0.9])
-        stats = stats.join(spread, KEY, "left")
-        middle, upper = F.coalesce(middle, F.col("_q0")), F.coalesce(upper, F.col("_q1"))
-    return stats.withColumns({"distancia_mediana_km": middle, "distancia_p90_km": upper}).drop(
-        "_q", "_q0", "_q1")
+    rows = cut_lineage(rows)
+    stats = rows.groupBy(KEY).agg(*[c for block in blocks for c in block(rows)], *distance_aggregates())
+    spread = grouped_quantiles(rows, [KEY], "distancia_km", [0.5, 0.9])
+    return stats.join(spread, KEY, "left").withColumnsRenamed(
+        {"_q0": "distancia_mediana_km", "_q1": "distancia_p90_km"})
 
 
 def genuine_rating(cohort: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -228,8 +219,8 @@ def window_productivity(cohort: DataFrame, jobs: DataFrame) -> DataFrame:
     return _per_key(cohort, jobs, [productivity_aggregates])
 
 
-def distance_stats(cohort: DataFrame, jobs: DataFrame, hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    return _per_key(cohort, jobs, [], hot_key_rows)
+def distance_stats(cohort: DataFrame, jobs: DataFrame) -> DataFrame:
+    return _per_key(cohort, jobs, [], with_distance=True)
 
 
 def conduct_features(cohort: DataFrame, incidents: DataFrame) -> DataFrame:
@@ -246,7 +237,7 @@ def conduct_features(cohort: DataFrame, incidents: DataFrame) -> DataFrame:
 
 def _with_window_features(spine: DataFrame, cohort: DataFrame, jobs: DataFrame,
                           incidents: DataFrame) -> DataFrame:
-    work = _per_key(cohort, jobs, [productivity_aggregates, rating_aggregates], HOT_KEY_ROWS)
+    work = _per_key(cohort, jobs, [productivity_aggregates, rating_aggregates], with_distance=True)
     feats = spine.join(work, KEY, "left").join(conduct_features(cohort, incidents), KEY, "left")
     filled = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ZERO_WHEN_ABSENT if c in feats.columns}
     per_job = lambda c: ratio_or_zero(F.col(c), F.col("n_diarias"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outlast.functions.ordering import SMALL_GROUP, grouped_quantiles, long_columns
+from outlast.functions.ordering import grouped_quantiles, long_columns
 from outlast.sources.schema import CATEGORICAL, NOT_PREDICTORS
 
 
@@ -65,25 +65,25 @@ class ColumnStats:
         return share, (share * (1 - share)) ** 0.5
 
 
-def numeric_statistics(train: DataFrame, columns: list[str], small_group: int = SMALL_GROUP) -> dict[str, ColumnStats]:
-    """Counts, moments and exact medians of many columns; one row per column reaches the driver.
-
-    Small training sets take their medians in the same pass. Larger ones use the bounded
-    sketch-and-refine path, because an exact median in one aggregate would hold all distinct values.
-    """
+def numeric_statistics(train: DataFrame, columns: list[str]) -> dict[str, ColumnStats]:
+    """Counts, moments and exact medians of many columns; one row per column reaches the driver."""
     long = long_columns(train.select(*[finite(c).alias(c) for c in columns]), columns)
     rows = train.count()
     moments = [F.count("value").alias("present"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance")]
-    if rows <= small_group:
-        table = long.groupBy("column").agg(*moments, F.median("value").alias("median"))
-    else:
-        medians = grouped_quantiles(long, ["column"], "value", [0.5], small_group)
-        table = long.groupBy("column").agg(*moments).join(
-            medians.withColumnRenamed("_q0", "median"), "column", "left")
+    medians = grouped_quantiles(long, ["column"], "value", [0.5])
+    table = long.groupBy("column").agg(*moments).join(
+        medians.withColumnRenamed("_q0", "median"), "column", "left")
     found = {r["column"]: r for r in table.collect()}
-    empty = {"present": 0, "mean": 0.0, "variance": 0.0, "median": 0.0}
-    return {c: ColumnStats(rows, *[(found[c] if c in found else empty)[k] or 0.0
-                                   for k in ("present", "mean", "variance", "median")]) for c in columns}
+    stats = {}
+    for c in columns:
+        r = found.get(c)
+        if r is None or not r["present"]:
+            stats[c] = ColumnStats(rows, 0, 0.0, 0.0, 0.0)
+        elif r["median"] is None:
+            raise ValueError(f"no median found for {c!r}")
+        else:
+            stats[c] = ColumnStats(rows, r["present"], r["mean"], r["variance"], r["median"])
+    return stats
 
 
 @dataclass(frozen=True)
@@ -100,14 +100,14 @@ class Preprocessor:
     # -- fitting ------------------------------------------------------------------------------
     @staticmethod
     def fit(train: DataFrame, scale: bool, numeric: list[str] | None = None,
-            categorical: list[str] | None = None, small_group: int = SMALL_GROUP) -> "Preprocessor":
+            categorical: list[str] | None = None) -> "Preprocessor":
         found_numeric, found_categorical = predictor_columns(train)
         numeric = found_numeric if numeric is None else numeric
         categorical = found_categorical if categorical is None else categorical
         categories, modes = category_levels(train, categorical)
         if not numeric:
             return Preprocessor({}, [], categories, modes)
-        stats = numeric_statistics(train, numeric, small_group)
+        stats = numeric_statistics(train, numeric)
         known = [c for c in numeric if stats[c].present > 0]
         missing = [c for c in numeric if stats[c].present < stats[c].rows]
         medians = {c: stats[c].median for c in known}
@@ -123,9 +123,22 @@ class Preprocessor:
     def numeric_outputs(self) -> list[str]:
         return list(self.medians) + [f"{c}_missing" for c in self.missing]
 
+    def level_outputs(self) -> dict[tuple[str, str], str]:
+        """Name of the column of each (categorical, level). A name that is taken, in any case, gets a number."""
+        taken, names = {n.lower() for n in self.numeric_outputs()}, {}
+        for c, levels in self.categories.items():
+            for v in levels:
+                first = name = f"{c}_{_safe(v)}"
+                number = 1
+                while name.lower() in taken:
+                    number += 1
+                    name = f"{first}_{number}"
+                taken.add(name.lower())
+                names[c, v] = name
+        return names
+
     def outputs(self) -> list[str]:
-        return self.numeric_outputs() + [
-            f"{c}_{_safe(v)}" for c, levels in self.categories.items() for v in levels]
+        return self.numeric_outputs() + list(self.level_outputs().values())
 
     def sql(self) -> dict[str, str]:
         """Output column name to SQL expression over the raw predictors."""
@@ -133,9 +146,8 @@ class Preprocessor:
         out.update({f"{c}_missing": f"CAST(({_finite(c)}) IS NULL AS DOUBLE)" for c in self.missing})
         for name in self.centers:
             out[name] = f"({out[name]} - {_number(self.centers[name])}) / {_number(self.scales[name])}"
-        for c, levels in self.categories.items():
-            filled = f"coalesce(`{c}`, {_quoted(self.modes[c])})"
-            out.update({f"{c}_{_safe(v)}": f"CAST({filled} = {_quoted(v)} AS DOUBLE)" for v in levels})
+        for (c, v), name in self.level_outputs().items():
+            out[name] = f"CAST(coalesce(`{c}`, {_quoted(self.modes[c])}) = {_quoted(v)} AS DOUBLE)"
         return out
 
     def expressions(self) -> dict[str, Column]:

@@ -1,3 +1,5 @@
+from functools import partial
+
 import math
 
 import numpy as np
@@ -83,13 +85,15 @@ def test_window_features_do_not_see_the_future(spark):
     assert a == b
 
 
-def test_hot_keys_take_the_distributed_quantiles(spark):
+def test_hot_keys_take_the_distributed_quantiles(spark, monkeypatch):
     """A key far above the limit gets the same numbers from the sketch-and-refine path."""
     spots = np.random.default_rng(0).normal(0, 0.1, (400, 2)).tolist()
     work = [{"tasker_id": 1 + (n % 40 == 0), "job_date": at(n % 30), "latitude": -23.5 + a, "longitude": -46.6 + b}
             for n, (a, b) in enumerate(spots)]
     cohort, j, _ = build(spark, work, keys=(1, 2))
-    usual, split = by_key(ft.distance_stats(cohort, j)), by_key(ft.distance_stats(cohort, j, hot_key_rows=50))
+    usual = by_key(ft.distance_stats(cohort, j))
+    monkeypatch.setattr(ft, "grouped_quantiles", partial(ft.grouped_quantiles, small_group=50))
+    split = by_key(ft.distance_stats(cohort, j))
     for key in (1, 2):
         for c in ("distancia_mediana_km", "distancia_p90_km"):
             assert split[key][c] == pytest.approx(usual[key][c], rel=1e-12)

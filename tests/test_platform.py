@@ -64,8 +64,11 @@ def test_window_join_has_no_python_and_one_fact_scan(spark):
         taskers(spark, [enabled(1)]), jobs(spark, [{"tasker_id": 1, "job_date": at(299)}]), incidents(spark, []),
         co.CohortRules(cutoff=str(at(360)), city=None, state=None)))
     facts = cut_lineage(jobs(spark, [{"tasker_id": 1, "job_date": at(1)}]))
-    plan = ft.distance_stats(cohort, facts)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan") == 2 and "Python" not in plan
+    executed = ft.window_jobs(cohort, facts)._jdf.queryExecution().executedPlan()
+    plan = executed.toString()
+    assert len(re.findall(r"FileScan parquet \[[^]]*job_id", plan)) == 1 and "Python" not in plan
+    assert "Python" not in ft.distance_stats(cohort, facts)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"DataFilters: \[[^]]*job_date[^]]*subquery", plan, re.I)
 
 
 # ---- sources --------------------------------------------------------------------------------
