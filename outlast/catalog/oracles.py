@@ -602,8 +602,11 @@ ON x.tempo = y.tempo""")
 
     q["hash_sample"] = sql(["target"], f"""SELECT tasker_id, tempo, evento FROM target
 ORDER BY {shuffled(42)}, tasker_id LIMIT 100""")
+    # Doubles below 0.001 are written with an exponent.
+    number = lambda v: f"""CASE WHEN {v} > 0 AND {v} < 0.001 THEN CAST(round({v} * 10000) AS INTEGER) || '.0E-4'
+  ELSE CAST({v} AS VARCHAR) END"""
     pieces = " || ".join(["'{\"modelo\":\"' || modelo || '\"'"] + [
-        f"',\"{m}_{s}\":' || CAST(round({f}({m}), 4) AS VARCHAR)" for m in METRICS for s, f in (("mean", "avg"), ("std", "stddev_samp"))]
+        f"',\"{m}_{s}\":' || {number(f'round({f}({m}), 4)')}" for m in METRICS for s, f in (("mean", "avg"), ("std", "stddev_samp"))]
         + ["'}'"])
     config = json.dumps({"rules": vars(RULES)}, default=str, ensure_ascii=False, sort_keys=True).replace("'", "''")
     q["run_log"] = sql(["metrics"], f"""SELECT 'treino_avaliacao' AS nome, '{config}' AS config,
