@@ -7,10 +7,12 @@ agree within the first ``coordinates - match + 1``, so lists of those places hol
 Collisions are counted by merging the two signatures, skipping pairs that cannot reach the threshold,
 and what is left is confirmed on the full sets.
 
-A list of n posts is never expanded into its pairs. Rounds link each class to the member of another
-component that it shares most lists with, one pair per class and round, and merge the components;
-lists that hold one component only are done. When few cross-component pairs are left, or the rounds
-stop paying, all of those are checked, so no link between components is lost.
+A list of n posts is never expanded into its pairs. In a round each list names its hub, the member that
+meets the most others over all lists (of a group of near copies, the text they were made from), and one
+member by lot; each class is held against the one of these that it meets in most lists, one pair per
+class and round, and components merge. Lists that hold one component only are done. When few
+cross-component pairs of like size are left, or the rounds stop paying, all of those are checked, so no
+link between components is lost.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ WORDS_PER_SHINGLE = 2
 COORDINATES = 40
 VALUES_PER_COORDINATE = 4
 MATCH = 4
-ROUNDS = 8
+ROUNDS = 3
+BLOCK = 256
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS_PER_SHINGLE) -> Iterator[np.ndarray]:
@@ -145,6 +148,61 @@ def _ordered(x: Column, y: Column, x_label: Column, y_label: Column) -> list[Col
             F.when(first, y_label).otherwise(x_label).alias("label_b")]
 
 
+def _links_across(left: DataFrame, signed: DataFrame, sets: DataFrame, match: int, similarity: int) -> DataFrame:
+    """Links (a, b, label_a, label_b) between components among the posts ``left`` (key, class, label).
+
+    Lists with the same prevailing component form a cluster. Its other classes are held against all of the
+    cluster, block by block; a block meets BLOCK classes on either side, however large the cluster is.
+    """
+    sizes = left.groupBy("key", "label").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("cluster"))
+    members = cut_lineage(left.join(most, "key").select(
+        "cluster", "class", "label", (F.col("label") == F.col("cluster")).alias("prevails")).distinct())
+    counts = members.groupBy("cluster").agg(F.count_if("prevails").alias("inner"), F.count_if(~F.col("prevails")).alias("outer"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
+    dealt = (members.join(counts.select("cluster", blocks("inner").alias("inner"), blocks("outer").alias("outer")), "cluster")
+             .withColumn("block", F.pmod(F.xxhash64("class"), F.when(F.col("prevails"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+             .join(signed, "class").join(sets, "class"))
+    row = ["cluster", "class", "label", "signature", "shingles"]
+    # An outer block meets all inner blocks (numbered below 0) and the outer blocks from itself on.
+    asking = dealt.where(~F.col("prevails")).select(
+        *row, F.col("block").alias("own"), F.explode(F.sequence(-F.col("inner"), F.col("outer") - 1)).alias("other")).where(
+        "other < 0 OR other >= own")
+    number = F.when(F.col("prevails"), -F.col("block") - 1).otherwise(F.col("block"))
+    asked = dealt.select(*[F.col(c).alias(c) for c in row], F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("own"), number.alias("other")).where(
+        "other < 0 OR other >= own")
+
+    def compare(one, two):
+        names = ["a", "b", "label_a", "label_b"]
+        if not one.num_rows or not two.num_rows:
+            return pa.table({n: pa.array([], pa.int64()) for n in names})
+        flat = [t["shingles"].combine_chunks() for t in (one, two)]
+        ends = [np.concatenate(([0], np.cumsum(f.value_lengths().to_numpy()))) for f in flat]
+        values = [f.flatten().to_numpy() for f in flat]
+        count = [np.diff(e) for e in ends]
+        signs = [np.array(t["signature"].to_pylist(), np.int64) for t in (one, two)]
+        labels, classes = ([t[c].to_numpy() for t in (one, two)] for c in ("label", "class"))
+        found = []
+        for i in range(one.num_rows):
+            near = np.minimum(count[0][i], count[1]) * 100 >= similarity * np.maximum(count[0][i], count[1])
+            near &= (labels[1] != labels[0][i]) & ((signs[1] == signs[0][i]).sum(axis=1) >= match)
+            rows = np.flatnonzero(near)
+            if not len(rows):
+                continue
+            own = np.sort(values[0][ends[0][i]:ends[0][i + 1]])
+            theirs = np.concatenate([values[1][ends[1][j]:ends[1][j + 1]] for j in rows])
+            at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+            starts = np.concatenate(([0], np.cumsum(count[1][rows])))[:-1]
+            common = np.add.reduceat((own[at] == theirs).astype(np.int64), starts)
+            for j in rows[common * 100 >= similarity * (len(own) + count[1][rows] - common)]:
+                found.append((classes[0][i], classes[1][j], labels[0][i], labels[1][j]))
+        return pa.table({n: pa.array([f[k] for f in found], pa.int64()) for k, n in enumerate(names)})
+
+    keys = ["cluster", "own", "other"]
+    return asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(
+        compare, "a bigint, b bigint, label_a bigint, label_b bigint")
+
+
 def near_duplicates(docs: DataFrame, similarity: int = 80, words: int = WORDS_PER_SHINGLE,
                     coordinates: int = COORDINATES, values: int = VALUES_PER_COORDINATE, match: int = MATCH,
                     rounds: int = ROUNDS) -> DataFrame:
@@ -177,25 +235,23 @@ def near_duplicates(docs: DataFrame, similarity: int = 80, words: int = WORDS_PE
     tried = None
     for number in range(rounds + 1):
         open_lists = lists.join(labels, "class")
-        mixed = (open_lists.groupBy("key", "label").agg(F.count("*").alias("n"), F.min("class").alias("least"))
-                 .groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"),
-                                     F.min("label").alias("low"), F.max("label").alias("high"),
-                                     F.min(F.col("least")).alias("pivot"), F.max("least").alias("other"))
-                 .where("low <> high"))
-        mixed = cut_lineage(mixed)
-        total = mixed.agg(F.sum("n").alias("posts"), F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2)
-                          .alias("pairs")).first()
-        if not total["posts"]:
+        mixed = (open_lists.groupBy("key", "label").agg(F.count("*").alias("n"))
+                 .groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1"))
+        left = cut_lineage(open_lists.join(mixed.select("key", "n"), "key"))
+        if left.isEmpty():
             break
-        left = open_lists.join(mixed.select("key", "pivot", "other"), "key")
-        last = number == rounds or total["pairs"] <= 2 * total["posts"]
-        if last:  # every pair of a list that two components share
-            other = left.select("key", F.col("class").alias("class_2"), F.col("label").alias("label_2"))
-            pairs = left.join(other, "key").where(F.col("label") < F.col("label_2")).select(
-                *_ordered(F.col("class"), F.col("class_2"), F.col("label"), F.col("label_2"))).distinct()
-        else:  # each class and the other component's member that it collides with most often
+        last = number == rounds
+        if last:
+            links = cut_lineage(_links_across(left, signed, sets, match, similarity))
+        else:
+            met_by = left.groupBy("class").agg(F.sum("n").alias("met"))
+            lot = F.xxhash64("class", F.lit(number))
+            named = left.select("key", "class").join(met_by, "class").groupBy("key").agg(
+                F.max_by("class", F.struct("met", -F.col("class"))).alias("hub"),
+                F.max_by("class", lot).alias("drawn"))
             ends = labels.select(F.col("class").alias("pivot"), F.col("label").alias("pivot_label"))
-            met = left.select("class", "label", F.explode(F.array("pivot", "other")).alias("pivot"))
+            met = left.select("key", "class", "label").join(named, "key").select(
+                "class", "label", F.explode(F.array_distinct(F.array("hub", "drawn"))).alias("pivot"))
             met = (met.groupBy("class", "label", "pivot").agg(F.count("*").alias("collisions"))
                    .join(ends, "pivot").where(F.col("label") != F.col("pivot_label")))
             met = met.select(*_ordered(F.col("class"), F.col("pivot"), F.col("label"), F.col("pivot_label")),
@@ -204,16 +260,13 @@ def near_duplicates(docs: DataFrame, similarity: int = 80, words: int = WORDS_PE
                 met = met.join(tried, ["a", "b"], "left_anti")
             best = met.groupBy("class").agg(F.max(F.struct("collisions", "a", "b", "label_a", "label_b")).alias("p"))
             pairs = best.select("p.a", "p.b", "p.label_a", "p.label_b").distinct()
-        pairs = cut_lineage(pairs)
-        if not last:
+            pairs = cut_lineage(pairs)
             tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        links = cut_lineage(_confirmed(pairs, signed, sets, match, similarity))
+            links = cut_lineage(_confirmed(pairs, signed, sets, match, similarity))
         if not links.isEmpty():
             labels = _smallest(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), labels)
         if last:
             break
-        if pairs.isEmpty():  # every representative was tried; only the whole check is left
-            rounds = number + 1
     moved = labels.where(F.col("class") != F.col("label"))
     classes = classes.join(moved, "class", "left").select(
         "shingles_hash", F.coalesce("label", "class").alias("component_id"))
