@@ -33,6 +33,7 @@ VALUES_PER_COORDINATE = 4
 MATCH = 4
 ROUNDS = 3
 BLOCK = 256
+BROADCAST_IDS = 500_000  # ids of up to this number (16 bytes each) are sent to the texts, more are joined by a shuffle
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS_PER_SHINGLE) -> Iterator[np.ndarray]:
@@ -230,7 +231,9 @@ def near_duplicates(docs: DataFrame, similarity: int = 80, words: int = WORDS_PE
     labels = cut_lineage(lists.select("class").distinct().withColumn("label", F.col("class")))
     members = labels.select("class")
     signed = cut_lineage(signed.join(members, "class"))
-    sets = cut_lineage(_sets(source.join(members.withColumnRenamed("class", "doc_id"), "doc_id")
+    wanted = members.withColumnRenamed("class", "doc_id")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    sets = cut_lineage(_sets(source.join(wanted, "doc_id")
                              .select(F.col("doc_id").alias("class"), "text"), words))
     tried = None
     for number in range(rounds + 1):
