@@ -23,7 +23,7 @@ from outlast.llm.words import column, text_column, text_slices
 
 SPACE_MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHED = 150_000
+CACHED = 500_000
 
 
 class PieceVocabulary:
