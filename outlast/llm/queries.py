@@ -144,6 +144,6 @@ SELECT page_id, payload_bytes,
            list_transform(range(5), lambda b: ((strpos('0123456789abcdef', substr(h, 1 + (i * 5 + b) // 4, 1)) - 1)
                                                >> (3 - (i * 5 + b) % 4)::INT & 1) << (4 - b)::INT)) AS INT), 1)), '') AS payload_digest,
        CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+       CASE WHEN page_id <> first_id THEN CAST(first_id AS DOUBLE) END AS refers_to  -- as a frame holds nullable integers
 FROM hashed
 """
