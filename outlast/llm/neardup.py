@@ -33,6 +33,7 @@ VALUES_PER_COORDINATE = 4
 MATCH = 4
 ROUNDS = 3
 BLOCK = 256
+HOT_CLASSES = 1000  # a class with more than this share of all rows is hot: fewer than this number can be
 BROADCAST_IDS = 500_000  # ids of up to this number (16 bytes each) are sent to the texts, more are joined by a shuffle
 
 
@@ -220,10 +221,10 @@ def near_duplicates(docs: DataFrame, similarity: int = 80, words: int = WORDS_PE
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed_docs = cut_lineage(signatures(source, words, coordinates, values))
     named = signed_docs.where(F.col("doc_id").isNotNull())
-    classes = (named.where(F.col("shingles_hash").isNotNull())
-               .groupBy("shingles_hash").agg(F.min("doc_id").alias("class")))
+    classes = cut_lineage(named.where(F.col("shingles_hash").isNotNull()).groupBy("shingles_hash")
+                          .agg(F.min("doc_id").alias("class"), F.count("*").alias("n")))
     # One row per class: its smallest member's (rows that repeat a doc_id with other words stay apart).
-    signed = (named.join(classes, ["shingles_hash"]).where(F.col("doc_id") == F.col("class"))
+    signed = (named.join(classes.drop("n"), ["shingles_hash"]).where(F.col("doc_id") == F.col("class"))
               .select("class", "signature").dropDuplicates(["class", "signature"]))
     posts = signed.select("class", F.explode(F.slice("signature", 1, coordinates - match + 1)).alias("key"))
     shared = posts.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
@@ -271,10 +272,19 @@ def near_duplicates(docs: DataFrame, similarity: int = 80, words: int = WORDS_PE
         if last:
             break
     moved = labels.where(F.col("class") != F.col("label"))
-    classes = classes.join(moved, "class", "left").select(
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT_CLASSES > total
+    resolved = lambda some: some.join(moved, "class", "left").select(
         "shingles_hash", F.coalesce("label", "class").alias("component_id"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return (signed_docs.drop("signature").join(classes, "shingles_hash", "left")
+    often = resolved(classes.where(hot)).withColumnRenamed("component_id", "often")
+    others = resolved(classes.where(~hot)).withColumnRenamed("shingles_hash", "rare_hash")
+    # Hot classes are answered by a broadcast; their rows, and those without words, are dealt by their ids
+    # (8 bytes at most, which no hash of 16 equals) and meet nothing in the join of the others.
+    spread = F.unhex(F.hex(F.xxhash64("doc_id")))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("often", "component_id", "doc_id"))
+    return (signed_docs.drop("signature").join(F.broadcast(often), "shingles_hash", "left")
+            .withColumn("rare_hash", F.coalesce(F.when(F.col("often").isNull(), F.col("shingles_hash")), spread))
+            .join(others, "rare_hash", "left")
             .select("doc_id", "n_shingles", component.alias("component_id"),
                     F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")))
 
