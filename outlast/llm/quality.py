@@ -62,11 +62,12 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bi
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 8192, bits: int = BITS, **training) -> QualityModel:
     """Learn ``labels.quality`` (0 or 1) from labelled rows with crc32(doc_id as text) mod 4 other than 2.
 
-    The sample is bounded: the ``most`` labelled rows of smallest hash. It is small enough to be sent
-    to every task that reads the texts, and one task does the updates.
+    The sample is bounded: of the labels whose documents are in ``docs``, the ``most`` of smallest hash. It
+    is small enough to be sent to every task that reads the texts, and one task does the updates.
     """
     sample = (labels.where(F.col("quality").isin(0, 1) & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT))
               .select("doc_id", F.col("quality").cast("int").alias("quality"))
+              .join(docs.select("doc_id"), "doc_id", "left_semi")
               .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most))
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from outlast.llm import langid, quality
 
@@ -134,3 +135,13 @@ def test_quality_of_odd_rows(llm, odd_documents, odd_rows, no_documents):
     assert quality.keep_good(odd_documents, untrained).count() == len(odd_rows)
     assert quality.score_quality(no_documents, model).collect() == []
     assert not quality.fit_quality(no_documents, labels).trained
+
+
+def test_labels_without_documents_use_up_no_sample(llm, documents):
+    """A few documents beside many labels of others train as they do beside their own labels."""
+    own = llm.read.parquet(f"{SF}/labels.parquet").where("quality is not null").select("doc_id", "quality")
+    others = llm.range(10**6, 10**6 + 5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast(own.schema["quality"].dataType).alias("quality"))
+    alone = quality.fit_quality(documents, own, most=64)
+    beside = quality.fit_quality(documents, own.unionByName(others), most=64)
+    assert alone.trained and beside.trained
+    assert np.array_equal(alone.weights, beside.weights)
