@@ -145,3 +145,13 @@ def test_labels_without_documents_use_up_no_sample(llm, documents):
     beside = quality.fit_quality(documents, own.unionByName(others), most=64)
     assert alone.trained and beside.trained
     assert np.array_equal(alone.weights, beside.weights)
+
+
+def test_language_stage_keeps_documents_of_learned_languages(llm):
+    """The score limit costs almost none of the documents that op6 puts in a language, and few of their beginnings."""
+    docs = llm.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").where("lang is not null")
+    net = langid.fit_languages(docs)
+    for text, least in ((F.col("text"), 0.995), (F.substring("text", 1, 30), 0.98)):
+        some = docs.withColumn("text", text)
+        known = langid.predict(some, net).where("lang_pred <> 'und'").count()
+        assert known > 900 and langid.keep_known_language(some, net).count() >= least * known
