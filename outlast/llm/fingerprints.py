@@ -8,49 +8,78 @@ draw the same one with a probability equal to their generalised Jaccard similari
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outlast.functions.ordering import slot_of
 
-SAMPLES = 32
+SAMPLES = 48
 BUCKET_BYTES = 4 << 20
 MOST_BUCKETS = 1 << 16
 FIRST_ID = -(1 << 63)
 SPACE = r"[\x20\x09-\x0D]+"
+UP_TO_LAST_SPACE = r"(?s)^.*[\x20\x09-\x0D]"
+LN2 = math.log(2)
+
+
+def _bits(hashed: Column, start: int, size: int) -> Column:
+    return F.shiftrightunsigned(hashed, start).bitwiseAND(F.lit((1 << size) - 1))
+
+
+def _series(s: str, center: float) -> Column:
+    """ln(x) for s = (x - center) / (x + center), where the column ``{s}2`` holds s squared."""
+    odd, total = F.col(f"{s}2"), F.lit(1 / 11)
+    for k in (9, 7, 5, 3, 1):
+        total = total * odd + 1 / k
+    return total * F.col(s) * 2.0 + math.log(center)
 
 
-def _uniform(hashed: Column, part: int) -> Column:
-    """One of three uniforms in (0, 1) that a 64-bit hash holds, of 21 bits each."""
-    bits = F.shiftrightunsigned(hashed, 21 * part).bitwiseAND(F.lit((1 << 21) - 1))
-    return (bits + F.lit(0.5)) / F.lit(float(1 << 21))
+def candidates(terms: DataFrame, log_weights: list[str], samples: int, draws: Column | None = None) -> DataFrame:
+    """Every row of ``terms`` once per sample (column j), with the candidate of each of ``log_weights``.
 
+    A candidate has ln(a) in the upper bits and a hash of (term, t) in the lower 30: the least value is the
+    sample. It is null for a null weight. ``draws`` is an array of sample numbers other than 0, 1, ...; a
+    negative number marks a row whose candidate is the term itself.
 
-def candidate(term: Column, log_weight: Column, sample: int) -> Column:
-    """ln(a) in the upper bits and a hash of (term, t) in the lower 30: the least value is the sample."""
-    first, second = F.xxhash64(term, F.lit(2 * sample)), F.xxhash64(term, F.lit(2 * sample + 1))
-    r = -F.log(_uniform(first, 0) * _uniform(first, 1))
-    c = -F.log(_uniform(second, 0) * _uniform(second, 1))
-    b = _uniform(first, 2)
-    t = F.floor(log_weight / r + b)
-    log_a = F.log(c) - r * (t - b) - r
-    ordered = F.floor((F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), log_a)) + 1024.0) * float(1 << 22)).cast("bigint")
-    return F.shiftleft(ordered, 30).bitwiseOR(F.xxhash64(term, t).bitwiseAND(F.lit((1 << 30) - 1)))
+    -ln(u) of a uniform u is ln(2) times the zeros before the first set bit of a hash plus -ln of a uniform in
+    (1/2, 1); two of them make a Gamma(2, 1) variate. So it takes bits and one short series, whose argument the
+    range of the mantissas bounds; ln(c) is 8 ln of the eighth root of c. Steps are columns of their own, each
+    referred to more than once, so that the plan keeps them apart and generated methods stay short.
+    """
+    numbers = F.sequence(F.lit(0), F.lit(samples - 1)) if draws is None else draws
+    rows = terms.select("*", F.explode(numbers).alias("j"))
+    rows = rows.withColumns({"h": F.xxhash64("term", F.lit(1), "j"), "g": F.xxhash64("term", F.lit(2), "j")})
+
+    def mantissa(hashed: str, start: int, size: int) -> Column:
+        return (_bits(F.col(hashed), start, size) + 0.5) * (0.5 / (1 << size)) + 0.5
+
+    rows = rows.withColumns({  # the zeros end at two bits set beyond the places drawn
+        "hz": _bits(F.col("h"), 0, 18).bitwiseOR(F.lit(3 << 18)), "gz": _bits(F.col("g"), 0, 20).bitwiseOR(F.lit(3 << 20)),
+        "hm": mantissa("h", 18, 15) * mantissa("h", 33, 15), "gm": mantissa("g", 20, 22) * mantissa("g", 42, 22),
+        "b": (_bits(F.col("h"), 48, 16) + 0.5) / float(1 << 16)})
+    rows = rows.withColumns({z: F.col(z).bitwiseAND(F.col(z) - 1) for z in ("hz", "gz")})  # without the first one
+    rows = rows.withColumns({s: (F.col(m) - 0.5) / (F.col(m) + 0.5) for s, m in (("hs", "hm"), ("gs", "gm"))})
+    rows = rows.withColumns({f"{s}2": F.col(s) * F.col(s) for s in ("hs", "gs")})
 
+    def gamma(zeros: str, s: str) -> Column:
+        second = F.bit_count(F.col(zeros).bitwiseAND(-F.col(zeros)) - 1)
+        return (second - 1) * LN2 - _series(s, 0.5)
 
-def weighted_terms(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys``, term (a hash) and log_weight, one row per distinct word of a text."""
-    words = rows.select(*keys, F.explode(F.split(F.col(text), SPACE)).alias("word")).where("word <> ''")
-    return (words.groupBy(*keys, F.xxhash64("word").alias("term")).agg(F.count("*").alias("weight"))
-            .select(*keys, "term", F.log(F.col("weight").cast("double")).alias("log_weight")))
+    rows = rows.withColumns({"r": gamma("hz", "hs"), "root": F.sqrt(F.sqrt(F.sqrt(gamma("gz", "gs"))))})
+    rows = rows.withColumn("cs", (F.col("root") - 0.8) / (F.col("root") + 0.8)).withColumn("cs2", F.col("cs") * F.col("cs"))
+    rows = rows.withColumn("log_c", _series("cs", 0.8) * 8.0)
+    rows = rows.withColumns({f"t_{w}": F.floor(F.col(w) / F.col("r") + F.col("b")) for w in log_weights})
 
+    def least(w: str) -> Column:
+        t = F.col(f"t_{w}")
+        log_a = F.col("log_c") - F.col("r") * (t - F.col("b") + 1.0)
+        ordered = F.floor((F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), log_a)) + 1024.0) * float(1 << 22))
+        packed = F.shiftleft(ordered, 30).bitwiseOR(F.xxhash64("term", t).bitwiseAND(F.lit((1 << 30) - 1)))
+        return F.when(F.col("j") < 0, F.col("term")).when(t.isNotNull(), packed)
 
-def sampled(terms: DataFrame, keys: list[str], samples: int, versions: int) -> DataFrame:
-    """``keys`` and one array of samples per version (columns s0, s1, ...; null elements without terms)."""
-    least = [F.min(F.when(F.col("version") == v, candidate(F.col("term"), F.col("log_weight"), j))).alias(f"m{v}_{j}")
-             for v in range(versions) for j in range(samples)]
-    return terms.groupBy(*keys).agg(*least).select(
-        *keys, *[F.array(*[f"m{v}_{j}" for j in range(samples)]).alias(f"s{v}") for v in range(versions)])
+    return rows.select(*terms.columns, "j", *[least(w).alias(f"least_{w}") for w in log_weights])
 
 
 def as_text(samples: Column) -> Column:
@@ -109,23 +138,51 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     Texts of any length are read whole; other columns are not read. An empty table gives an empty result.
     """
     placed = _bucketed(docs)
-    length = F.length("text")
-    cut = F.floor(length / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), length - cut),
-                      F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), cut))
     keys = ["bucket", "place"]
-    texts = placed.select(*keys, "doc_id", F.explode(F.when(F.col("guest"), F.array(F.struct(F.lit(0).alias("version"), F.col("text").alias("t"))))
-                                           .otherwise(F.array(F.struct(F.lit(0).alias("version"), F.col("text").alias("t")),
-                                                              F.struct(F.lit(1).alias("version"), edited.alias("t"))))).alias("v"))
-    texts = texts.select(*keys, "doc_id", "v.version", "v.t")
-    # doc_id rides along here so that both uses of the dealt rows need the same columns of one exchange.
-    drawn = sampled(weighted_terms(texts, [*keys, "doc_id", "version"], "t"), [*keys, "doc_id"], samples, 2).drop("doc_id")
-    facts = placed.select(*keys, "guest", "doc_id", length.cast("bigint").alias("n_chars"),
-                          F.sha2(edited.cast("binary"), 256).alias("edited_sha256"))
+    length = F.length("text")
+    cut = F.when(F.col("guest"), 0).otherwise(F.floor(length / 2)).cast("int")
+    # Up to the last space before the cut both versions have the same words, which are counted once for both.
+    parts = placed.select(*keys, "guest", "doc_id", length.alias("size"), F.substring("text", F.lit(1), length - cut).alias("head"),
+                          F.substring("text", length - cut + 1, cut).alias("tail"),
+                          F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), cut).alias("new_tail"))
+    parts = parts.withColumn("both", F.regexp_extract("head", UP_TO_LAST_SPACE, 0))
+    parts = parts.withColumn("rest", F.substring("head", F.length("both") + 1, F.length("head")))
+    digest = F.sha2(F.concat("head", "new_tail").cast("binary"), 256)
+    facts = [F.col("doc_id"), F.col("size"), F.col("guest").cast("int"),
+             *[F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10) for i in range(4)]]
+    worded = parts.select(*keys, F.array(*[f.cast("string") for f in facts]).alias("facts"),
+                          F.split("both", SPACE).alias("both"), F.split(F.concat("rest", "tail"), SPACE).alias("old"),
+                          F.split(F.concat("rest", "new_tail"), SPACE).alias("new"))
+    # What is told of a document travels as further rows after its words, so the texts are dealt once and not joined.
+    shared = F.size("both")
+    old = shared + F.size("old")
+    everything = worded.select(*keys, shared.alias("n0"), old.alias("n1"), (old + F.size("new")).alias("n2"), F.posexplode(
+        F.concat("both", "old", "new", "facts")).alias("pos", "word"))
+    fact = F.greatest(F.lit(-1), F.col("pos") - F.col("n2"))  # the number of the fact, -1 for a word
+    told = everything.where((F.col("word") != "") | (F.col("pos") >= F.col("n2"))).select(
+        *keys, fact.alias("fact"), F.when(fact >= 0, F.col("word").try_cast("bigint")).otherwise(F.xxhash64("word")).alias("term"),
+        (F.col("pos") < F.col("n1")).cast("int").alias("old"),
+        ((F.col("pos") < F.col("n0")) | ((F.col("pos") >= F.col("n1")) & (F.col("pos") < F.col("n2")))).cast("int").alias("new"))
+    terms = told.groupBy(*keys, "fact", "term").agg(F.sum("old").alias("old"), F.sum("new").alias("new"))
+
+    def log_of(weight: str) -> Column:
+        return F.when(F.col(weight) > 0, F.log(F.col(weight).cast("double"))).alias(weight)
+
+    numbers = F.when(F.col("fact") >= 0, F.array(-1 - F.col("fact"))).otherwise(F.sequence(F.lit(0), F.lit(samples - 1)))
+    rows = candidates(terms.select(*keys, "fact", "term", log_of("old"), log_of("new")), ["old", "new"], samples, numbers)
+    least = rows.groupBy(*keys, "j").agg(F.min("least_old").alias("s0"), F.min("least_new").alias("s1"))
+
+    def told_of(number: int) -> Column:
+        return F.max(F.when(F.col("j") == -1 - number, F.col("s0")))
+
+    drawn = F.sort_array(F.collect_list(F.when(F.col("j") >= 0, F.struct("j", "s0", "s1"))))
+    joined = least.groupBy(*keys).agg(drawn.alias("drawn"), *[told_of(i).alias(f"f{i}") for i in range(len(facts))])
     none = F.array_repeat(F.lit(None).cast("bigint"), samples)
-    joined = facts.join(drawn, keys, "left").withColumns({v: F.coalesce(v, none) for v in ("s0", "s1")})
+    joined = joined.withColumns({s: F.when(F.size("drawn") > 0, F.col(f"drawn.{s}")).otherwise(none) for s in ("s0", "s1")})
     following = Window.partitionBy("bucket").orderBy("place")
-    return joined.withColumn("next", F.lead("s0").over(following)).where("not guest").select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("s0")).alias("fingerprint"),
-        as_text(F.col("s1")).alias("edited_fingerprint"), likeness(F.col("s0"), F.col("s1"), samples).alias("near_edited"),
+    sha = F.lower(F.concat(*[F.lpad(F.hex(f"f{3 + i}"), 16, "0") for i in range(4)]))
+    return joined.withColumn("next", F.lead("s0").over(following)).where("f2 = 0").select(
+        F.col("f0").alias("doc_id"), F.col("f1").alias("n_chars"), sha.alias("edited_sha256"),
+        as_text(F.col("s0")).alias("fingerprint"), as_text(F.col("s1")).alias("edited_fingerprint"),
+        likeness(F.col("s0"), F.col("s1"), samples).alias("near_edited"),
         likeness(F.col("s0"), F.col("next"), samples).alias("near_next"))

@@ -63,16 +63,27 @@ def test_collisions_equal_weighted_jaccard(llm):
     one, two = {"a": 3, "b": 1, "c": 7, "d": 2}, {"a": 5, "b": 1, "c": 2, "e": 4}
     rows = [(k, n, 0, i) for i, s in enumerate((one, two)) for k, n in s.items()]
     terms = llm.createDataFrame(rows, "word string, weight int, version int, place int").select(
-        "place", "version", F.xxhash64("word").alias("term"), F.log(F.col("weight").cast("double")).alias("log_weight"))
-    samples, equal = 400, 0
-    for base in range(0, samples, 20):
-        least = [F.min(fingerprints.candidate(F.col("term"), F.col("log_weight"), base + j)).alias(f"m{j}") for j in range(20)]
-        a, b = terms.coalesce(1).groupBy("place").agg(*least).drop("place").collect()
-        equal += sum(x == y for x, y in zip(a, b))
+        "place", "version", F.xxhash64("word").alias("term"), F.log(F.col("weight").cast("double")).alias("w"))
+    samples = 400
+    least = fingerprints.candidates(terms, ["w"], samples).groupBy("j", "place").agg(F.min("least_w").alias("s"))
+    equal = least.groupBy("j").agg((F.min("s") == F.max("s")).cast("int").alias("same")).agg(F.sum("same")).first()[0]
     wanted = (3 + 1 + 2) / (5 + 1 + 7 + 2 + 4)
     assert equal / samples == pytest.approx(wanted, abs=0.08)
 
 
+def test_draws_follow_gamma(llm):
+    """P(r < q) of a Gamma(2, 1) variate is 1 - exp(-q) (1 + q); with weight e^100 t tells r apart."""
+    terms = llm.range(500).select(F.xxhash64("id").alias("term"), F.lit(0.0).alias("w"))
+    rows = fingerprints.candidates(terms, ["w"], 40).select((F.shiftright("least_w", 30) / float(1 << 22) - 1024.0).alias("log_a"))
+    found = np.sort([r.log_a for r in rows.collect()])
+    draw = np.random.default_rng(5)
+    r, c, b = draw.gamma(2, 1, 200_000), draw.gamma(2, 1, 200_000), draw.random(200_000)
+    wanted = np.sort(np.log(c) - r * (1 - b))  # weight 1: t is 0
+    for q in (0.01, 0.1, 0.3, 0.5, 0.7, 0.9, 0.99):
+        assert np.mean(found < np.quantile(wanted, q)) == pytest.approx(q, abs=0.012)
+
+
 def test_plan_is_native_and_deals_texts_once(documents):
     plan = fingerprints.fingerprints(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+    assert plan.count("Exchange") == 1 and "hashpartitioning(bucket" in plan
