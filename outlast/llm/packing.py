@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -54,6 +56,21 @@ class WordEncoder:
         # How the pre-tokenizer writes the bytes of a character, asked of the tokenizer itself.
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.written = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xc0, 0x180)}
+        self.part = self._parting()
+
+    def _parting(self) -> str:
+        """Pattern of a letter and the mark after it that the pre-tokenizer parts.
+
+        It parts them unless the normaliser makes the letter end in a combining mark, since combining marks
+        and punctuation form one pre-token. Such letters are found by asking the normaliser for all of them.
+        """
+        normal = self.tokenizer.normalizer
+        if normal is None:
+            return r"(\pL)([.,;:!?])"
+        letters = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "L"]
+        ends = ((c, normal.normalize_str(c)[-1]) for c in letters)
+        held = "".join(f"\\x{{{ord(c):x}}}" for c, end in ends if unicodedata.category(end)[0] != "L")
+        return rf"([^\PL{held}])([.,;:!?])"
 
     def __call__(self, words: list[bytes]) -> list[bytes]:
         if len(self.words) > self.cached:
@@ -85,14 +102,15 @@ def token_ids(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
     """Ids of each text, without added special tokens.
 
     The vocabulary's pre-tokenizer never joins characters across white space, nor a letter and a mark
-    of punctuation, and lower-cases. So marks are parted from the letters before them, A-Z become
+    of punctuation (but see ``_parting``), and lower-cases. So marks are parted from the letters before them, A-Z become
     a-z (unless a text may hold the name of a special token, which has its own case), and every word
     is encoded by itself, once while it is in the cache.
     """
-    parted = pc.replace_substring_regex(texts, r"(\pL)([.,;:!?])", r"\1 \2")
+    encoder = word_encoder(path)
+    parted = pc.replace_substring_regex(texts, encoder.part, r"\1 \2")
     special = pc.any(pc.match_substring(texts, "<|"), min_count=0).as_py()
     codes, words, starts = split_words(parted, lower=not special)
-    ids = word_encoder(path)(words)
+    ids = encoder(words)
     sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
     heads = np.concatenate(([0], np.cumsum(sizes)))
     joined = np.frombuffer(b"".join(ids), dtype="<u4")

@@ -1,3 +1,4 @@
+import unicodedata
 import zlib
 
 import numpy as np
@@ -30,6 +31,16 @@ def test_ids_of_a_batch(tokenizer, documents):
         assert list(ids) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_every_letter_before_every_mark(tokenizer):
+    """Some letters normalise to a letter and a combining mark, which stays with punctuation."""
+    letters = [c for c in map(chr, range(0x110000)) if unicodedata.category(c)[0] == "L"]
+    texts = [" ".join(f"{c}{mark} a{c}{mark}b" for mark in ".,;:!?") for c in letters]
+    wanted = tokenizer.encode_batch(texts, add_special_tokens=False)
+    wrong = [c for at in range(0, len(texts), 10_000) for c, ids, w in zip(
+        letters[at:], packing.token_ids(pa.array(texts[at:at + 10_000]), FILE), wanted[at:]) if ids.tolist() != w.ids]
+    assert wrong == [] and len(letters) > 100_000
+
+
 def check_pieces(rows, expected, length):
     """Every id of every document (doc_id -> list of id lists) in exactly one piece, sequences without gaps."""
     by_sequence = {}
