@@ -139,7 +139,8 @@ def _ascend(leaves: DataFrame, nodes: DataFrame, broadcast: bool) -> DataFrame:
                        n.up_tree, n.up_round, n.up_idx,
                        {FOLD.format(steps="n.steps", start="c.folded")}, {APPEND.format(steps="n.steps", start="c.proof")}
                 FROM climb c JOIN {{nodes}} n ON n.tree = c.tree AND n.round = c.round AND n.idx = c.idx)
-            SELECT doc_id, leaf, subroot, folded, proof FROM climb WHERE tree IS NULL""", leaves=leaves, nodes=nodes))
+            SELECT doc_id, leaf, subroot, folded, sha2(lower(hex(proof)), 256) AS proof_sha256
+            FROM climb WHERE tree IS NULL""", leaves=leaves, nodes=nodes))
     finally:
         spark.conf.set("spark.sql.cteRecursionRowLimit", held)
 
@@ -189,5 +190,5 @@ def manifest(docs: DataFrame) -> DataFrame:
 
     return found.select(
         "doc_id", text("leaf").alias("leaf"), text("subroot").alias("subroot"), F.lit(root_text).alias("root"),
-        F.sha2(text("proof").cast("binary"), 256).alias("proof_sha256"), text("folded").alias("folded_root"),
+        "proof_sha256", text("folded").alias("folded_root"),
         (text("folded") == root_text).alias("verified"))
