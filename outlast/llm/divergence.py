@@ -28,7 +28,7 @@ SHARD_KEYS = 16_384
 KEYS_PER_BUCKET = 4
 BROADCAST_BYTES = 64 << 20  # of stored keys and displacements at once; more take further passes over the texts
 SLOT_ARRAYS_BYTES = 64 << 20  # of a task's slot arrays; beyond, their counts are sent on and they start anew
-BLOCK_CELLS = 1 << 22  # sources x terms of one block of the pair sums
+BLOCK_CELLS = 1 << 16  # sources x terms of one block of the pair sums
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 # Bytes outside terms become blanks, A-Z become a-z; bytes of longer characters belong to terms.
