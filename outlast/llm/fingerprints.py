@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from outlast.functions.ordering import slot_of
 
-SAMPLES = 48
+SAMPLES = 40
 BUCKET_BYTES = 4 << 20
 MOST_BUCKETS = 1 << 16
 FIRST_ID = -(1 << 63)
