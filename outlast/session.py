@@ -46,3 +46,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_parts(path: str, parts: dict[str, DataFrame]) -> None:
+    """Write tables that belong together so that readers see all of them or those of the last complete write.
+
+    The tables go to a fresh folder; then a row that names it is added to the manifest, which is the commit: an
+    appended file appears whole. A failed write leaves the earlier tables in force.
+    """
+    version, spark = uuid.uuid4().hex, next(iter(parts.values())).sparkSession
+    for name, table in parts.items():
+        table.write.parquet(f"{path}/{version}/{name}")
+    spark.createDataFrame([(version,)], "version STRING").selectExpr("version", "unix_micros(current_timestamp()) AS at").coalesce(
+        1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def read_parts(spark: SparkSession, path: str):
+    """A function from a part's name to its table, all of the last complete ``write_parts``."""
+    version = spark.read.parquet(f"{path}/manifest").orderBy("at", "version").tail(1)[0]["version"]
+    return lambda name: spark.read.parquet(f"{path}/{version}/{name}")
