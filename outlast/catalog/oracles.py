@@ -465,6 +465,31 @@ def _melted(source: str) -> str:
     return f"SELECT tasker_id, feature, {r('value', 'value')} FROM {source}"
 
 
+# ---- cuts of a column by the log-rank statistic: every distinct value against every event day ---
+
+part("cut_rows", ["long_all", "target"], f"""
+SELECT feature, CASE WHEN feature IN ({", ".join(f"'{c}'" for c in sorted(MONEY))})
+  THEN round(value + 3.1e-7, 4) ELSE round(value + 3.1e-9, 6) END AS value, tempo, evento
+FROM long_all l JOIN target t ON l.tasker_id = t.tasker_id WHERE value IS NOT NULL""")
+part("cut_days", ["cut_rows"], """
+SELECT m.feature, day, any_value(dead) AS dead, CAST(count(*) AS DOUBLE) AS risk
+FROM (SELECT feature, tempo AS day, count(*) AS dead FROM cut_rows WHERE evento GROUP BY feature, tempo) m
+JOIN cut_rows s ON s.feature = m.feature AND s.tempo >= day GROUP BY m.feature, day""")
+part("cut_sizes", ["cut_rows"], "SELECT feature, value, count(*) AS n FROM cut_rows GROUP BY feature, value")
+part("cut_cells", ["cut_rows", "cut_days", "cut_sizes"], """
+SELECT z.feature, z.value, day, any_value(dead) AS dead, any_value(risk) AS risk, count(s.tempo) AS here,
+  count(*) FILTER (WHERE s.tempo = day AND s.evento) AS fell
+FROM cut_sizes z JOIN cut_days t ON t.feature = z.feature
+LEFT JOIN cut_rows s ON s.feature = z.feature AND s.value = z.value AND s.tempo >= day GROUP BY z.feature, z.value, day""")
+part("cut_upto", ["cut_cells"], """SELECT *, sum(here) OVER w AS l, sum(fell) OVER w AS e FROM cut_cells
+WINDOW w AS (PARTITION BY feature, day ORDER BY value)""")
+part("cut_tests", ["cut_upto"], """SELECT feature, value, sum(e - dead * l / risk) AS z,
+  sum(CASE WHEN risk > 1 THEN dead * (risk - dead) / (risk - 1) * (l / risk) * (1 - l / risk) END) AS v
+FROM cut_upto GROUP BY feature, value""")
+part("cut_counts", ["cut_sizes"], """SELECT feature, value, sum(n) OVER (PARTITION BY feature ORDER BY value) AS before,
+  sum(n) OVER (PARTITION BY feature) AS every FROM cut_sizes""")
+
+
 def oracle_statements() -> dict[str, str]:
     cohort_times = ["ativacao_at", "landmark_at", "data_desfecho", "criacao_at", "onboarding_at", "suspensao_at",
                     "inativacao_at", "primeiro_login_at"]
@@ -579,6 +604,10 @@ SELECT tasker_id, {r('CAST(evento AS INTEGER) - exp(risk / 3) * h', 'residual')}
     SELECT tempo, d, sum(e) OVER (ORDER BY tempo DESC ROWS UNBOUNDED PRECEDING) AS s FROM (
       SELECT tempo, count(*) FILTER (WHERE evento) AS d, sum(exp(risk / 3)) AS e FROM risky GROUP BY tempo))) y
 ON x.tempo = y.tempo""")
+    q["logrank_best_cuts"] = sql(["cut_tests", "cut_counts"], """
+SELECT feature, round(max(round(z * z / v, 8)) + 3.1e-9, 6) AS score
+FROM cut_tests JOIN cut_counts USING (feature, value)
+WHERE v > 1e-12 AND before >= 15 AND every - before >= 15 GROUP BY feature""")
     q["stratified_folds"] = sql(["target"], f"SELECT tasker_id, evento, fold FROM ({folds('target', 10, 'evento')})")
     q["unstratified_folds"] = sql(["target"], f"SELECT tasker_id, fold FROM ({folds('target', 3)})")
 

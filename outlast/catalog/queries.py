@@ -16,7 +16,7 @@ from outlast.functions.text import normalize_text
 from outlast.models import selection as sel
 from outlast.models.boosting import fit_boosting
 from outlast.models.cox import fit_cox
-from outlast.models.forest import fit_forest
+from outlast.models.forest import best_cuts, fit_forest
 from outlast.models.hazard import cox_gradient, partial_loglik
 from outlast.operators import cohort as co
 from outlast.operators import compare as cp
@@ -531,17 +531,24 @@ def gbm_survival_fit(spark, sf):
     return rounded(model.with_risk(matrix).select("tasker_id", "risk"))
 
 
+@query
+def logrank_best_cuts(spark, sf):
+    matrix = _matrix(spark, sf)
+    # Values are rounded, so that both engines see the same ones as equal.
+    found = best_cuts(rounded(matrix), pp.predictor_columns(matrix)[0], min_leaf=15)
+    # Thresholds of equal statistics are a matter of rounding; the statistic is not.
+    return found.select("feature", F.round(F.col("score") + NUDGE, 6).alias("score"))
+
+
 @query
 def rsf_fit(spark, sf):
-    model = fit_forest(_matrix(spark, sf), n_estimators=5, min_samples_leaf=15, max_depth=3)
-    return rounded(model.split_table(spark))
+    return rounded(fit_forest(_matrix(spark, sf), n_estimators=200, min_samples_leaf=15).split_table(spark))
 
 
 @query
 def rsf_predict(spark, sf):
     matrix = _matrix(spark, sf)
-    model = fit_forest(matrix, n_estimators=5, min_samples_leaf=15, max_depth=2)
-    return rounded(model.with_risk(matrix).select("tasker_id", "risk"))
+    return rounded(fit_forest(matrix, n_estimators=200, min_samples_leaf=15).with_risk(matrix).select("tasker_id", "risk"))
 
 
 @query
