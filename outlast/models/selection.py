@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from outlast.functions.hashing import shuffle_key
 from outlast.functions.ordering import number_rows
-from outlast.models.boosting import fit_boosting
+from outlast.models.boosting import fit_boostings
 from outlast.models.cox import fit_cox_path
 from outlast.models.forest import fit_forest
 from outlast.operators.concordance import harrell_c
@@ -62,8 +62,7 @@ def forest_spec(space: dict[str, list] = FOREST_SPACE, seed: int = 42) -> ModelS
 
 
 def boosting_spec(space: dict[str, list] = BOOSTING_SPACE, seed: int = 42) -> ModelSpec:
-    return ModelSpec("Gradient Boosting", space,
-                     lambda train, sets: [fit_boosting(train, seed=seed, **s) for s in sets])
+    return ModelSpec("Gradient Boosting", space, lambda train, sets: fit_boostings(train, sets, seed))
 
 
 def registry(seed: int = 42) -> dict[str, ModelSpec]:
