@@ -465,6 +465,22 @@ def _melted(source: str) -> str:
     return f"SELECT tasker_id, feature, {r('value', 'value')} FROM {source}"
 
 
+# ---- a regression stump on the residuals of a zero score, cuts at 32 quantiles ---
+
+part("stump_residuals", ["folded"], """
+SELECT tasker_id, CAST(evento AS INTEGER) - h AS residual FROM folded f JOIN (
+  SELECT tempo, sum(d / n) OVER (ORDER BY tempo ROWS UNBOUNDED PRECEDING) AS h FROM (
+    SELECT tempo, d, CAST(sum(n) OVER (ORDER BY tempo DESC ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS n FROM (
+      SELECT tempo, count(*) FILTER (WHERE evento) AS d, count(*) AS n FROM folded WHERE fold <> 0 GROUP BY tempo))) y
+ON f.tempo = y.tempo WHERE fold <> 0""")
+part("stump_values", ["imputed", "hot", "stump_residuals"], """
+SELECT feature, value, count(*) AS n, sum(residual) AS s
+FROM (SELECT tasker_id, feature, value FROM imputed WHERE fold <> 0 UNION ALL SELECT tasker_id, feature, value FROM hot) v
+JOIN stump_residuals r ON r.tasker_id = v.tasker_id GROUP BY feature, value""")
+part("stump_cuts", ["stump_values"], """
+SELECT *, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER (PARTITION BY feature) AS na, sum(s) OVER (PARTITION BY feature) AS sa
+FROM stump_values WINDOW w AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING)""")
+
 # ---- cuts of a column by the log-rank statistic: every distinct value against every event day ---
 
 part("cut_rows", ["long_all", "target"], f"""
@@ -604,6 +620,10 @@ SELECT tasker_id, {r('CAST(evento AS INTEGER) - exp(risk / 3) * h', 'residual')}
     SELECT tempo, d, sum(e) OVER (ORDER BY tempo DESC ROWS UNBOUNDED PRECEDING) AS s FROM (
       SELECT tempo, count(*) FILTER (WHERE evento) AS d, sum(exp(risk / 3)) AS e FROM risky GROUP BY tempo))) y
 ON x.tempo = y.tempo""")
+    q["gbm_first_stump"] = sql(["stump_cuts"], f"""
+SELECT {r('least(sl / nl, (sa - sl) / (na - nl))', 'low')}, {r('greatest(sl / nl, (sa - sl) / (na - nl))', 'high')}
+FROM stump_cuts WHERE nl < na AND least(31, floor(nl * 32.0 / na)) > (nl - n) * 32.0 / na
+ORDER BY round(sl * sl / nl + (sa - sl) * (sa - sl) / (na - nl) - sa * sa / na, 9) DESC LIMIT 1""")
     q["logrank_best_cuts"] = sql(["cut_tests", "cut_counts"], """
 SELECT feature, round(max(round(z * z / v, 8)) + 3.1e-9, 6) AS score
 FROM cut_tests JOIN cut_counts USING (feature, value)

@@ -527,8 +527,16 @@ def cox_survival_at(spark, sf):
 @query
 def gbm_survival_fit(spark, sf):
     matrix = _matrix(spark, sf)
-    model = fit_boosting(matrix, n_estimators=3, learning_rate=0.1, max_depth=2, subsample=0.8)
-    return rounded(model.with_risk(matrix).select("tasker_id", "risk"))
+    return rounded(fit_boosting(matrix, n_estimators=100, subsample=0.8).with_risk(matrix).select("tasker_id", "risk"))
+
+
+@query
+def gbm_first_stump(spark, sf):
+    """The values of the two leaves of one round of depth 1."""
+    train, _ = _prepared(spark, sf)
+    tree = fit_boosting(train, n_estimators=1, max_depth=1, learning_rate=1.0).trees[0]
+    low, high = sorted(tree.value[1:])
+    return rounded(spark.createDataFrame([(low, high)], "low DOUBLE, high DOUBLE"))
 
 
 @query
