@@ -642,6 +642,18 @@ WHERE v > 1e-12 AND before >= 15 AND every - before >= 15 GROUP BY feature""")
         for m in METRICS))
     q["nemenyi_q"] = sql(["uno_mean_ranks", "shape"], f"""SELECT a.modelo AS modelo_a, b.modelo AS modelo_b,
   {r("abs(a.mean_rank - b.mean_rank) / sqrt(k * (k + 1) / (6.0 * n))", "q")} FROM uno_mean_ranks a, uno_mean_ranks b, shape""")
+    # The same integral by window sums: the difference of two normal distributions, then the area, both by Simpson's rule.
+    phi = lambda z: f"exp(-({z}) * ({z}) / 2) / sqrt(2 * pi())"
+    slope = lambda z: f"({phi(z)} - {phi(z + ' - w')})"
+    q["nemenyi_p"] = sql(["uno_mean_ranks", "shape"], f"""SELECT modelo_a, modelo_b, {r("greatest(0.0, least(1.0, 1 - any_value(k) * sum(part) * any_value(h) / 3))", "p_value")}
+FROM (SELECT modelo_a, modelo_b, k, h, CASE WHEN i IN (0, 2000) THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END * {phi("z")}
+    * pow(greatest(coalesce(sum(rise) OVER (PARTITION BY modelo_a, modelo_b ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 0.0), k - 1) AS part
+  FROM (SELECT *, ({slope("z")} + 4 * {slope("z + h / 2")} + {slope("z + h")}) * h / 6 AS rise
+    FROM (SELECT *, i * h - 8.0 AS z FROM (SELECT *, (w + 16.0) / 2000 AS h FROM (
+      SELECT a.modelo AS modelo_a, b.modelo AS modelo_b, k, unnest(range(2001)) AS i,
+        abs(a.mean_rank - b.mean_rank) / sqrt(k * (k + 1) / (6.0 * n)) * sqrt(2) AS w
+      FROM uno_mean_ranks a, uno_mean_ranks b, shape)))))
+GROUP BY modelo_a, modelo_b""")
     q["critical_distance"] = sql(["shape"], f"""SELECT CAST(k AS BIGINT) AS n_models, CAST(n AS BIGINT) AS n_folds,
   {r(CD, 'critical_distance')} FROM shape""")
     q["cd_groups"] = sql(["walk"], f"""SELECT grupo, {r('min(start)', 'start')}, {r('max(mean_rank)', '"end"')},

@@ -122,3 +122,21 @@ def slot_of(value: Column, bounds: Column, size: int) -> Column:
     return F.aggregate(
         F.array(*[F.lit(s) for s in steps]), F.lit(0),
         lambda at, s: at + F.when(F.get(bounds, at + s - 1) <= value, s).otherwise(0))
+
+
+def rank_by_range(df: DataFrame, by: Sequence[str], column: str, slices: int, name: str = "_rank") -> DataFrame:
+    """1-based rank of each row of ``df``, whose ``column`` is distinct within a ``by`` group, in ascending order.
+
+    The groups are cut into ``slices`` ranges (a power of two) at sketched quantiles; rows are numbered
+    inside a range and shifted by the counts of the ranges below, so no task holds a group.
+    """
+    by = list(by)
+    edges = F.percentile_approx(column, [i / slices for i in range(1, slices)], SKETCH_ACCURACY).alias("_bounds")
+    bounded = df.join(df.groupBy(*by).agg(edges), by) if by else df.withColumn("_bounds", df.agg(edges).scalar())
+    sliced = bounded.withColumn("_slice", slot_of(F.col(column), F.col("_bounds"), slices - 1)).drop("_bounds")
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sliced.groupBy(*by, "_slice").agg(F.count("*").alias("_size")).select(
+        *by, "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, "_slice").orderBy(column)
+    return (sliced.withColumn("_in", F.row_number().over(inside)).join(offsets, [*by, "_slice"])
+            .withColumn(name, (F.col("_in") + F.col("_before")).cast("bigint")).drop("_slice", "_in", "_before"))

@@ -4,7 +4,7 @@ from frames import scattered
 from pyspark.sql import functions as F
 
 from outlast.functions.hashing import PRIME, poisson_one, shuffle_key, unit_uniform
-from outlast.functions.ordering import column_quantiles, grouped_quantiles, number_rows, slot_of
+from outlast.functions.ordering import column_quantiles, grouped_quantiles, number_rows, rank_by_range, slot_of
 
 
 @pytest.mark.parametrize("small_group", [10, 100_000])
@@ -40,6 +40,19 @@ def test_numbering_is_a_permutation_in_hash_order(spark):
         assert ranks == list(range(1, len(ranks) + 1))
 
 
+@pytest.mark.parametrize("by,slices", [([], 8), (["g"], 4), (["g"], 64)])
+def test_ranks_by_range_equal_sorting(spark, by, slices):
+    """Ranges are far smaller than the groups, which differ in size; one group is a single row."""
+    values = np.unique(np.random.default_rng(2).exponential(50, 300))
+    rows = [("a" if i < 250 else "b", float(v)) for i, v in enumerate(values[:-1])] + [("c", float(values[-1]))]
+    found = rank_by_range(spark.createDataFrame(rows, "g STRING, v DOUBLE").repartition(5), by, "v", slices).collect()
+    groups = {}
+    for g, v in rows:
+        groups.setdefault(g if by else "", []).append(v)
+    wanted = {v: i for members in groups.values() for i, v in enumerate(sorted(members), 1)}
+    assert {r["v"]: r["_rank"] for r in found} == wanted and len(found) == len(rows)
+
+
 def test_shuffle_key_spreads_neighbours(spark):
     keys = [r[0] for r in spark.range(4000).select(shuffle_key(F.col("id"), 1)).collect()]
     assert len(set(keys)) == 4000

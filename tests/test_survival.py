@@ -5,7 +5,7 @@ import pytest
 from frames import survival
 from pyspark.sql import functions as F
 
-from outlast.functions.tails import chi2_tail, range_tail
+from outlast.functions.tails import chi2_tail, studentized_range_tail
 from outlast.operators import compare as cp
 from outlast.operators import survival as sv
 from outlast.sources.schema import METRICS_DDL
@@ -66,8 +66,12 @@ def test_tails(spark):
              (9.487729036781154, 4): 0.05, (18.420680743952367, 2): 1e-4, (15.136705226623606, 1): 1e-4}
     for (x, df), p in known.items():
         assert spark.range(1).select(chi2_tail(F.lit(x), df)).first()[0] == pytest.approx(p, rel=1e-8)
-    for k, q in cp.Q_ALPHA.items():
-        assert range_tail(q * math.sqrt(2), k) == pytest.approx(0.05, abs=2e-4)
+    tail = lambda rows: [r[0] for r in spark.createDataFrame(rows, "w DOUBLE, k BIGINT").select(
+        studentized_range_tail(F.col("w"), F.col("k"))).collect()]
+    for p in tail([(q * math.sqrt(2), k) for k, q in cp.Q_ALPHA.items()]):
+        assert p == pytest.approx(0.05, abs=2e-4)
+    widths = [0.0, 0.01, 1.0, 3.7, 9.0, 25.0]  # of two normals: the range is |N(0, 2)|
+    assert tail([(w, 2) for w in widths]) == pytest.approx([math.erfc(w / 2) for w in widths], abs=1e-9)
 
 
 # ---- comparison of models -------------------------------------------------------------------
