@@ -18,6 +18,10 @@ from outlast.llm.settings import configure
 from outlast.session import cut_lineage
 
 
+#: Words of a shingle in the near-dedup stage, whose measure is the share of common shingles, 0.8 or more.
+SHINGLE_WORDS = 5
+
+
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents that the byte network rejects go."""
     configure(spark)
@@ -31,9 +35,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: one document of each group of near-copies stays."""
+    """Operator 2 with shingles of SHINGLE_WORDS words: one document of each group of near-copies stays."""
     configure(spark)
-    return neardup.keep_one_of_each(docs)
+    return neardup.keep_one_of_each(docs, words=SHINGLE_WORDS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
