@@ -7,14 +7,14 @@ import pytest
 from outlast.llm import neardup
 
 
-def shingles(text):
+def shingles(text, size=2):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    return {tuple(words)} if len(words) == 1 else set(zip(words, words[1:]))
+    return {tuple(words)} if 0 < len(words) < size else set(zip(*(words[i:] for i in range(size))))
 
 
-def components(rows, similarity=80):
+def components(rows, similarity=80, size=2):
     """doc_id -> (size of its set, least doc_id that links reach), by all pairs."""
-    sets = {i: shingles(t) for i, t in rows}
+    sets = {i: shingles(t, size) for i, t in rows}
     ids = sorted(sets)
     label = {i: i for i in ids}
 

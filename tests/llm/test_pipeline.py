@@ -22,7 +22,7 @@ def test_run_equals_brute_force(llm, documents):
     assert 0 < len(kept) <= len(rows)
     model = quality.fit_quality(documents.where(documents.doc_id.isin([i for i, _ in kept])), labels)
     kept = [(i, t) for i, t in kept if quality.score_batch(model, pa.array([t]))[0] >= 0.7]
-    groups = components(kept)
+    groups = components(kept, size=5)
     kept = [(i, t) for i, t in kept if groups[i][1] == i]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     expected = [(i, tokenizer.encode(t, add_special_tokens=False).ids + [2]) for i, t in kept]
