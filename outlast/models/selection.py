@@ -7,7 +7,8 @@ import json
 import random
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +17,10 @@ from outlast.functions.hashing import shuffle_key
 from outlast.functions.ordering import number_rows
 from outlast.models.boosting import fit_boostings
 from outlast.models.cox import fit_cox_path
-from outlast.models.forest import fit_forest
+from outlast.models.forest import fit_forests
 from outlast.operators.concordance import harrell_c
 from outlast.operators.evaluation import QUANTILES, evaluate, evaluation_times
-from outlast.session import cut_lineage
+from outlast.session import at_once, cut_lineage
 from outlast.sources.schema import METRICS, METRICS_DDL
 
 # The published search spaces.
@@ -58,7 +59,7 @@ def cox_spec(space: dict[str, list] = COX_SPACE) -> ModelSpec:
 
 
 def forest_spec(space: dict[str, list] = FOREST_SPACE, seed: int = 42) -> ModelSpec:
-    return ModelSpec("RSF", space, lambda train, sets: [fit_forest(train, seed=seed, **s) for s in sets])
+    return ModelSpec("RSF", space, lambda train, sets: fit_forests(train, sets, seed))
 
 
 def boosting_spec(space: dict[str, list] = BOOSTING_SPACE, seed: int = 42) -> ModelSpec:
@@ -120,12 +121,14 @@ def random_search(train: DataFrame, spec: ModelSpec, n_iter: int, seed: int = 42
     if len(draws) == 1:
         return Search(spec.fit(train, draws[0]), draws[0])
     folded = cut_lineage(assign_folds(train, n_folds, seed, stratify=None, name="_inner"))
-    parts = []
-    for k in range(n_folds):
+
+    def held_scores(k: int) -> list[DataFrame]:
         fit_rows, held = folded.where(F.col("_inner") != k).drop("_inner"), folded.where(F.col("_inner") == k)
-        for i, model in enumerate(spec.fit_all(fit_rows, draws)):
-            parts.append(_scored(model, held.drop("_inner"), candidate=i, inner=k))
-    scores = harrell_c(cut_lineage(reduce(DataFrame.unionByName, parts)), by=["candidate", "inner"])
+        return [_scored(model, held.drop("_inner"), candidate=i, inner=k)
+                for i, model in enumerate(spec.fit_all(fit_rows, draws))]
+
+    parts = at_once(train.sparkSession, [partial(held_scores, k) for k in range(n_folds)])
+    scores = harrell_c(cut_lineage(reduce(DataFrame.unionByName, chain(*parts))), by=["candidate", "inner"])
     means = {r["candidate"]: r["c"] for r in
              scores.groupBy("candidate").agg(F.avg("c_harrell").alias("c")).collect()}
     best = max(range(len(draws)), key=lambda i: (means[i], -i))
@@ -144,20 +147,24 @@ def nested_cv(matrix: DataFrame, specs: Iterable[ModelSpec], n_folds: int, n_ite
               quantiles: Iterable[float] = QUANTILES, inner_folds: int = 3) -> DataFrame:
     """One metric row per (model, fold). Pass a written matrix: every fit scans it again."""
     folded = cut_lineage(stratified_folds(matrix, n_folds, seed))
-    rows = []
-    for spec in specs:
-        for k in range(n_folds):
-            train, test = folded.where(F.col("fold") != k).drop("fold"), folded.where(F.col("fold") == k).drop("fold")
-            found = random_search(train, spec, n_iter, seed, inner_folds)
-            scores = score_fold(found.model, train, test, quantiles).first()
-            rows.append((spec.name, k, *[scores[m] for m in METRICS]))
+
+    def scores_of(spec: ModelSpec, k: int) -> tuple:
+        train, test = folded.where(F.col("fold") != k).drop("fold"), folded.where(F.col("fold") == k).drop("fold")
+        found = random_search(train, spec, n_iter, seed, inner_folds)
+        scores = score_fold(found.model, train, test, quantiles).first()
+        return spec.name, k, *[scores[m] for m in METRICS]
+
+    rows = at_once(matrix.sparkSession, [partial(scores_of, spec, k) for spec in specs for k in range(n_folds)])
     return matrix.sparkSession.createDataFrame(rows, METRICS_DDL)
 
 
 def final_fit(matrix: DataFrame, specs: Iterable[ModelSpec], n_iter: int, seed: int = 42,
               inner_folds: int = 3) -> tuple[dict, DataFrame]:
     """Search on all rows: the fitted models by name, and the table of winning parameters."""
-    found = {spec.name: random_search(matrix, spec, n_iter, seed, inner_folds) for spec in specs}
+    specs = list(specs)
+    searches = at_once(matrix.sparkSession, [
+        partial(random_search, matrix, spec, n_iter, seed, inner_folds) for spec in specs])
+    found = {spec.name: search for spec, search in zip(specs, searches)}
     rows = [(name, json.dumps(s.params, sort_keys=True)) for name, s in found.items()]
     table = matrix.sparkSession.createDataFrame(rows, "modelo STRING, hiperparametros STRING")
     return {name: s.model for name, s in found.items()}, table

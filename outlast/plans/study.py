@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from outlast.models.boosting import BoostedModel
 from outlast.models.cox import CoxModel
 from outlast.models.forest import ForestModel
+from outlast.models.shapley import tree_shapley_values
 from outlast.models.selection import ModelSpec, final_fit, nested_cv, quick_registry, score_fold, stratified_folds
 from outlast.operators import compare as cp
 from outlast.operators import survival as sv
@@ -142,11 +143,18 @@ def best_saved_model(spark, out_dir: str):
 
 
 def explain_study(matrix: DataFrame, out_dir: str, n_repeats: int = 10, seed: int = 42, **shapley) -> DataFrame:
-    """Stage 5: explain the best saved model; importance, partial dependence, Shapley values and strata."""
+    """Stage 5: explain the best saved model; importance, partial dependence, Shapley values and strata.
+
+    Shapley values are exact for forest and boosting; Cox's come from sampled feature orders, exact for a linear score.
+    """
     model = best_saved_model(matrix.sparkSession, out_dir)
     importance = interpret_model(model, matrix, out_dir, n_repeats, seed)
-    design = cut_lineage(model.preprocessor.transform(matrix))
-    values = shapley_values(on_design(model), design, model.preprocessor.outputs(), seed=seed, **shapley)
+    if hasattr(model, "packed"):
+        bounds = {k: v for k, v in shapley.items() if k != "n_permutations"}
+        values = tree_shapley_values(model, matrix, seed=seed, **bounds)
+    else:
+        design = cut_lineage(model.preprocessor.transform(matrix))
+        values = shapley_values(on_design(model), design, model.preprocessor.outputs(), seed=seed, **shapley)
     write_table(shapley_mean_abs(values), f"{out_dir}/shap_resumo")
     stratified_study(matrix, out_dir)
     return importance

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 # A join on tasker_id is followed by a groupBy on tasker_id, so without the "force" flag AQE would
@@ -48,6 +51,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+AT_ONCE = 8  # fits whose jobs are submitted together; each holds a few broadcasts
+
+
+def at_once(spark: SparkSession, calls: list[Callable[[], object]]) -> list:
+    """The results of independent calls, whose Spark jobs are submitted side by side from threads, in the calls' order.
+
+    A fit is a chain of small jobs, so one alone leaves most of a cluster idle. The first failure is raised.
+    """
+    if len(calls) < 2:
+        return [call() for call in calls]
+    inherit = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(min(AT_ONCE, len(calls))) as pool:
+        return [done.result() for done in [pool.submit(inherit(call)) for call in calls]]
+
+
 def write_parts(path: str, parts: dict[str, DataFrame]) -> None:
     """Write tables that belong together so that readers see all of them or those of the last complete write.
 
