@@ -672,25 +672,33 @@ ORDER BY {shuffled(42)}, tasker_id LIMIT 100""")
     config = json.dumps({"rules": vars(RULES)}, default=str, ensure_ascii=False, sort_keys=True).replace("'", "''")
     q["run_log"] = sql(["metrics"], f"""SELECT 'treino_avaliacao' AS nome, '{config}' AS config,
   '[' || string_agg(piece, ',' ORDER BY modelo) || ']' AS metricas FROM (SELECT modelo, {pieces} AS piece FROM metrics GROUP BY modelo)""")
-    swapped = ["pontualidade", "taxa_preferencial", "n_diarias", "idade"]
-    donors = "\nUNION ALL ".join(f"""SELECT '{f}' AS atributo, rep, {f} AS donated,
-  row_number() OVER (PARTITION BY rep ORDER BY {shuffled(42, f'{i} * 10 + rep + 1')}, tasker_id) AS rk FROM matrix, (SELECT unnest(range(10)) AS rep)"""
-                               for i, f in enumerate(swapped))
+    swapped = ["pontualidade", "taxa_preferencial", "n_diarias"]
+    sent = ", ".join(f"{{'atributo': '{f}', 'place': {i}, 'donated': {'NULL' if f in CATEGORICAL else f}::DOUBLE}}"
+                     for i, f in enumerate(sorted([*NUMERIC, *CATEGORICAL])))
+    moved = """SELECT v.atributo, v.place * 10 + rep + 1 AS salt, rep, v.donated AS donated, rk - 1 AS p FROM
+    (SELECT rk, unnest([""" + sent + """]) AS v FROM takers), (SELECT unnest(range(10)) AS rep)"""
+    moved = f"SELECT moved.*, n FROM ({moved}) moved, size"
+    for i in range(24):
+        hashed = lambda key: shuffled(42, f"salt * 24 + {i}").replace("tasker_id", key)
+        moved = f"""SELECT * EXCLUDE (p, m), CASE WHEN ({hashed('greatest(p, m)')}) % 2 = 1 THEN m ELSE p END AS p FROM
+    (SELECT *, ((({hashed('-1')}) - p) % n + n) % n AS m FROM ({moved}))"""
     mixed = RISK
-    for f in swapped[:3]:
+    for f in swapped:
         mixed = mixed.replace(f"coalesce({f},", f"coalesce(CASE WHEN atributo = '{f}' THEN donated ELSE {f} END,")
     c = lambda of: f"""(SELECT {of} sum(CASE WHEN a.risk > b.risk THEN 1.0 WHEN a.risk = b.risk THEN 0.5 ELSE 0.0 END) / count(*) AS c"""
     q["permutation_importance"] = sql(["matrix"], f"""
 SELECT atributo, {r('avg(plain - c)', 'importancia_media')}, {r('stddev_pop(plain - c)', 'importancia_desvio')} FROM (
-  WITH takers AS (SELECT *, row_number() OVER (ORDER BY {shuffled(42)}, tasker_id) AS rk FROM matrix),
-  donors AS ({donors}),
-  scored AS (SELECT atributo, rep, tempo, evento, {mixed} AS risk FROM takers JOIN donors USING (rk)),
+  WITH takers AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {shuffled(42)}, tasker_id) AS rk FROM matrix),
+  size AS (SELECT count(*) AS n FROM takers),
+  scored AS (SELECT atributo, rep, tempo, evento, {mixed} AS risk FROM takers JOIN ({moved}) sent ON rk = sent.p + 1),
   base AS (SELECT tempo, evento, {RISK} AS risk FROM matrix)
   SELECT * FROM {c('a.atributo, a.rep,')} FROM scored a JOIN scored b ON a.atributo = b.atributo AND a.rep = b.rep AND a.evento AND {PAIR}
     GROUP BY a.atributo, a.rep), {c('').replace(' AS c', ' AS plain')} FROM base a JOIN base b ON a.evento AND {PAIR})) GROUP BY atributo""")
+    q["model_roundtrip"] = sql(["target"], """SELECT modelo, count(*) AS n, 0 AS n_different
+FROM target, (SELECT unnest(['Cox PH', 'RSF', 'Gradient Boosting']) AS modelo) GROUP BY modelo""")
+    one, two, three = swapped
     x = lambda f: f"coalesce(s.{f}, 0.0)"
     z = lambda f: f"coalesce(b.{f}, 0.0)"
-    one, two, three = swapped[:3]
     credits = {one: f"({x(one)} - {z(one)}) * ({x(two)} + {z(two)}) / 2", two: f"({x(two)} - {z(two)}) * ({x(one)} + {z(one)}) / 2",
                three: f"-0.25 * ({x(three)} - {z(three)})"}
     q["shapley_mean_abs"] = sql(["matrix"], "\nUNION ALL ".join(f"""

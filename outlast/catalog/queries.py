@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ from outlast.models.boosting import fit_boosting
 from outlast.models.cox import fit_cox
 from outlast.models.forest import best_cuts, fit_forest
 from outlast.models.hazard import cox_gradient, partial_loglik
+from outlast.models.shapley import tree_shapley_values
 from outlast.operators import cohort as co
 from outlast.operators import compare as cp
 from outlast.operators import concordance as cc
@@ -28,7 +30,7 @@ from outlast.operators import interpret as ip
 from outlast.operators import preprocess as pp
 from outlast.operators import survival as sv
 from outlast.plans import study
-from outlast.session import shared_folder, configure, cut_lineage
+from outlast.session import at_once, shared_folder, configure, cut_lineage
 from outlast.sources import schema, tables
 from outlast.sources.star import metrics_by_fold_view, scan, star_tables
 
@@ -571,19 +573,37 @@ def unstratified_folds(spark, sf):
 
 @query
 def random_search(spark, sf):
-    found = sel.random_search(_matrix(spark, sf), sel.cox_spec(), n_iter=3, n_folds=2)
-    rows = [(p["alpha"], c, p == found.params) for p, c in found.scores]
-    return rounded(spark.createDataFrame(rows, "alpha DOUBLE, c_harrell DOUBLE, chosen BOOLEAN"))
+    matrix, specs = _matrix(spark, sf), list(sel.registry().values())
+    searches = at_once(spark, [partial(sel.random_search, matrix, spec, n_iter=3, n_folds=2) for spec in specs])
+    rows = [(spec.name, json.dumps(p, sort_keys=True), c, p == found.params)
+            for spec, found in zip(specs, searches) for p, c in found.scores]
+    return rounded(spark.createDataFrame(rows, "modelo STRING, hiperparametros STRING, c_harrell DOUBLE, chosen BOOLEAN"))
 
 
 @query
 def nested_cv(spark, sf):
-    return rounded(sel.nested_cv(_matrix(spark, sf), [sel.cox_spec({"alpha": [0.1, 10.0]})], n_folds=2, n_iter=2, inner_folds=2))
+    return rounded(sel.nested_cv(_matrix(spark, sf), sel.registry().values(), n_folds=2, n_iter=2, inner_folds=2))
 
 
 @query
 def final_fit(spark, sf):
-    return sel.final_fit(_matrix(spark, sf), [sel.cox_spec({"alpha": [0.1, 10.0]})], n_iter=2, inner_folds=2)[1]
+    return sel.final_fit(_matrix(spark, sf), sel.registry().values(), n_iter=2, inner_folds=2)[1]
+
+
+@query
+def model_roundtrip(spark, sf):
+    """Rows whose risk differs between a model and its saved and loaded copy, by family; SQL tells the row count."""
+    matrix, out = _matrix(spark, sf), f"{shared_folder(spark)}/{uuid4().hex}"
+
+    def compared(spec: sel.ModelSpec) -> DataFrame:
+        model = spec.fit(matrix, {name: values[0] for name, values in spec.space.items()})
+        model.save(study.model_path(out, spec.name))
+        again = study.load_model(spark, out, spec.name)
+        both = again.with_risk(model.with_risk(matrix).withColumnRenamed("risk", "before"))
+        return cut_lineage(both.agg(F.lit(spec.name).alias("modelo"), F.count("*").alias("n"),
+                                    F.count_if(~F.col("before").eqNullSafe(F.col("risk"))).alias("n_different")))
+
+    return reduce(DataFrame.unionAll, at_once(spark, [partial(compared, s) for s in sel.quick_registry().values()]))
 
 
 # ---- comparison -----------------------------------------------------------------------------
@@ -655,8 +675,9 @@ def _importance_like(matrix: DataFrame) -> DataFrame:
 
 @query
 def permutation_importance(spark, sf):
-    return rounded(ip.permutation_importance(
-        _formula_model(), _matrix(spark, sf), ["pontualidade", "taxa_preferencial", "n_diarias", "idade"]))
+    matrix = _matrix(spark, sf)
+    numeric, categorical = pp.predictor_columns(matrix)
+    return rounded(ip.permutation_importance(_formula_model(), matrix, sorted(numeric + categorical)))
 
 
 @query
@@ -684,6 +705,18 @@ def shapley_mean_abs(spark, sf):
     return rounded(ip.shapley_mean_abs(values))
 
 
+@query
+def shapley_of_trees(spark, sf):
+    """Mean absolute exact Shapley value of every preprocessed feature for a fitted forest and a fitted boosting."""
+    matrix, registry = _matrix(spark, sf), sel.quick_registry()
+
+    def explained(name: str) -> DataFrame:
+        model = registry[name].fit(matrix, {k: v[0] for k, v in registry[name].space.items()})
+        return ip.shapley_mean_abs(tree_shapley_values(model, matrix)).select(F.lit(name).alias("modelo"), "*")
+
+    return rounded(reduce(DataFrame.unionAll, at_once(spark, [partial(explained, n) for n in ("RSF", "Gradient Boosting")])))
+
+
 @query
 def hash_sample(spark, sf):
     return ip.hash_sample(_target(spark, sf), 100).select("tasker_id", "tempo", "evento")
@@ -691,5 +724,4 @@ def hash_sample(spark, sf):
 
 @query
 def sensitivity_ranking(spark, sf):
-    specs = [sel.cox_spec({"alpha": [1.0]})]
-    return rounded(study.sensitivity_ranking(star_tables(spark, sf), RULES, [60], [180], specs))
+    return rounded(study.sensitivity_ranking(star_tables(spark, sf), RULES, *GRID))

@@ -24,6 +24,27 @@ def shuffle_key(key: Column, seed: int = 0, salt: Column | int = 0) -> Column:
     return F.pmod(first * first, F.lit(PRIME))
 
 
+ROUNDS = 24
+
+
+def permuted(rank: Column, size: Column | int, seed: int, salt: Column | int) -> Column:
+    """A keyed bijection on [0, size): where ``rank`` goes in the permutation named by ``seed`` and ``salt``.
+
+    Every round pairs each number with its mirror image about a round key and swaps the pair or leaves it, by a hash of
+    its larger member. So a row's place in any number of orders is arithmetic on its rank: no sort, no
+    further ranking, any size, and every SQL engine can repeat it.
+    """
+    size, base = F.lit(size).cast("bigint"), F.lit(salt).cast("bigint") * ROUNDS
+
+    def swap(at: Column, number: Column) -> Column:
+        # Keys of rounds come from hashes below zero, which no pair can have.
+        mirror = F.pmod(shuffle_key(F.lit(-1), seed, base + number) - at, size)
+        odd = F.pmod(shuffle_key(F.greatest(at, mirror), seed, base + number), F.lit(2)) == 1
+        return F.when(odd, mirror).otherwise(at)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), rank.cast("bigint"), swap)
+
+
 def unit_uniform(*parts: Column) -> Column:
     """A double in [0, 1) from the 53 top bits of a 64-bit hash of ``parts``."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))

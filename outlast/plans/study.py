@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import replace
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ from outlast.operators.features import feature_matrix
 from outlast.operators.interpret import (on_design, partial_dependence, pdp_targets, permutation_importance,
                                          shapley_mean_abs, shapley_values)
 from outlast.operators.preprocess import predictor_columns
-from outlast.session import cut_lineage
+from outlast.session import at_once, cut_lineage
 from outlast.sources.schema import METRICS_DDL
 from outlast.sources.tables import Tables, log_run, read_csv, write_csv, write_table
 
@@ -50,15 +50,15 @@ def build_study(tables: Tables, rules: CohortRules, out_dir: str) -> DataFrame:
 def mean_uno_c(matrix: DataFrame, specs: Iterable[ModelSpec], n_folds: int = 3, seed: int = 42) -> dict[str, float]:
     """Mean Uno concordance of each model (its first parameter set) over stratified folds."""
     folded = cut_lineage(stratified_folds(matrix, n_folds, seed))
-    means = {}
-    for spec in specs:
-        params = {k: v[0] for k, v in spec.space.items()}
-        scores = []
-        for k in range(n_folds):
-            train, test = folded.where(F.col("fold") != k).drop("fold"), folded.where(F.col("fold") == k).drop("fold")
-            scores.append(score_fold(spec.fit(train, params), train, test).first()["c_uno"])
-        means[spec.name] = sum(scores) / n_folds
-    return means
+    specs = list(specs)
+
+    def c_uno(spec: ModelSpec, k: int) -> float:
+        train, test = folded.where(F.col("fold") != k).drop("fold"), folded.where(F.col("fold") == k).drop("fold")
+        model = spec.fit(train, {name: values[0] for name, values in spec.space.items()})
+        return score_fold(model, train, test).first()["c_uno"]
+
+    scores = at_once(matrix.sparkSession, [partial(c_uno, spec, k) for spec in specs for k in range(n_folds)])
+    return {spec.name: sum(scores[i * n_folds:(i + 1) * n_folds]) / n_folds for i, spec in enumerate(specs)}
 
 
 def sensitivity_ranking(tables: Tables, rules: CohortRules, inactivity_days: Iterable[int],
@@ -68,11 +68,14 @@ def sensitivity_ranking(tables: Tables, rules: CohortRules, inactivity_days: Ite
     specs = list(quick_registry(seed).values() if specs is None else specs)
     grid = cut_lineage(sensitivity_grid(tables.taskers, tables.jobs, tables.incidents, rules,
                                         inactivity_days, landmark_days))
-    rows = []
-    for point in grid.where(F.col("n_eventos") > min_events).select("W", "landmark").collect():
-        chosen = replace(rules, inactivity_days=point["W"], landmark_days=point["landmark"])
+
+    def ranked(w: int, landmark: int) -> tuple:
+        chosen = replace(rules, inactivity_days=w, landmark_days=landmark)
         means = mean_uno_c(cut_lineage(cohort_matrix(tables, chosen)), specs, seed=seed)
-        rows.append((point["W"], point["landmark"], *[float(means[s.name]) for s in specs]))
+        return w, landmark, *[float(means[s.name]) for s in specs]
+
+    points = grid.where(F.col("n_eventos") > min_events).select("W", "landmark").collect()
+    rows = at_once(grid.sparkSession, [partial(ranked, p["W"], p["landmark"]) for p in points])
     ddl = "W INT, landmark INT, " + ", ".join(f"`c_uno[{s.name}]` DOUBLE" for s in specs)
     return grid.join(grid.sparkSession.createDataFrame(rows, ddl), ["W", "landmark"], "left")
 
@@ -84,7 +87,7 @@ def sensitivity_study(tables: Tables, rules: CohortRules, inactivity_days: Itera
     return found.sparkSession.read.parquet(write_table(round_numbers(found, 4), f"{out_dir}/sensibilidade"))
 
 
-def _model_path(out_dir: str, name: str) -> str:
+def model_path(out_dir: str, name: str) -> str:
     return f"{out_dir}/modelos/{name.replace(' ', '_')}"
 
 
@@ -100,7 +103,7 @@ def train_and_evaluate(matrix: DataFrame, specs: Iterable[ModelSpec], out_dir: s
     summary = spark.read.parquet(write_table(cp.metric_summary(metrics), f"{out_dir}/comparacao_modelos"))
     models, parameters = final_fit(matrix, specs, n_iter, seed, inner_folds)
     for name, model in models.items():
-        model.save(_model_path(out_dir, name))
+        model.save(model_path(out_dir, name))
     write_table(parameters, f"{out_dir}/hiperparametros")
     config = {"n_folds": n_folds, "n_iter": n_iter, "inner_folds": inner_folds, "seed": seed, "modelos": sorted(models)}
     log_run("treino_avaliacao", config, summary, f"{out_dir}/execucoes")
@@ -112,7 +115,7 @@ def load_model(spark, out_dir: str, name: str):
     kinds = {"Cox PH": CoxModel, "RSF": ForestModel, "Gradient Boosting": BoostedModel}
     if name not in kinds:
         raise ValueError(f"unknown model {name!r}, expected one of {sorted(kinds)}")
-    return kinds[name].load(spark, _model_path(out_dir, name))
+    return kinds[name].load(spark, model_path(out_dir, name))
 
 
 def compare_study(spark, out_dir: str, metric: str = "c_uno") -> cp.Comparison:
