@@ -13,6 +13,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,24 +65,19 @@ class PieceVocabulary:
         """Ids of the best path and its score; of equal paths to a position, the one with the longer last piece."""
         n = len(text)
         score, step, piece = [0.0] + [-float("inf")] * n, [0] * (n + 1), [-1] * (n + 1)
-        here = 0
-
-        def fall_back(upto: int) -> None:
-            """Positions up to ``upto`` have all their pieces; give those without a path the unknown's."""
-            nonlocal here
-            while here < upto:
+        here, unknown = 0, self.unknown
+        # Positions before an end have all their pieces by then; those without a path get the unknown's.
+        for end, (i, length, value) in chain(self.automaton.iter(text), [(n, (-1, n + 1, 0.0))]):
+            while here < end:
                 here += 1
-                last = score[here - 1] + self.unknown
+                last = score[here - 1] + unknown
                 if last > score[here]:
                     score[here], step[here], piece[here] = last, 1, -1
-
-        for end, (i, length, value) in self.automaton.iter(text):
-            end += 1
-            fall_back(end - 1)
-            found = score[end - length] + value
-            if found > score[end] or found == score[end] and length > step[end]:
-                score[end], step[end], piece[end] = found, length, i
-        fall_back(n)
+            if length <= n:
+                end += 1
+                found = score[end - length] + value
+                if found > score[end] or found == score[end] and length > step[end]:
+                    score[end], step[end], piece[end] = found, length, i
         ids, at = [], n
         while at:
             if piece[at] >= 0:
@@ -112,6 +108,13 @@ class PieceVocabulary:
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8")[1:]
 
+    def decode_lists(self, lists: pa.ListArray) -> list[str | None]:
+        """The text of every list of ids, None for null. The ids of all lists become Python numbers in one step."""
+        at = lists.offsets.tolist()
+        ids = lists.values.slice(at[0], at[-1] - at[0]).to_numpy().tolist()
+        return [self.decode(ids[low - at[0]:high - at[0]]) if known else None
+                for low, high, known in zip(at[:-1], at[1:], lists.is_valid().tolist())]
+
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> PieceVocabulary:
@@ -145,7 +148,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for batch in batches:
-            texts = [None if i is None else words.decode(i) for i in column(batch, "ids").to_pylist()]
+            texts = words.decode_lists(column(batch, "ids"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                              [*batch.schema.names, "decoded"])
 

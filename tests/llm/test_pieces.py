@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from outlast.llm import pieces
@@ -69,3 +70,11 @@ def test_odd_rows(odd_documents, odd_rows, no_documents):
     assert all(r.n_pieces == 0 and r.score == 0 for r in found if r.doc_id in (2, 3))
     assert pieces.round_trip(no_documents, FILE).collect() == []
     assert pieces.decode(pieces.encode(no_documents, FILE), FILE).columns == ["doc_id", "ids", "score", "decoded"]
+
+
+def test_lists_of_ids_are_decoded_without_a_scalar_per_id(words):
+    texts = ["", "a b", None, "naïve ☃\n", "  x"] * 2
+    ids = pa.array([None if t is None else words.encode(t)[0].tolist() for t in texts], pa.list_(pa.int32()))
+    assert words.decode_lists(ids) == texts
+    assert words.decode_lists(ids.slice(1, 3)) == texts[1:4]
+    assert words.decode_lists(ids.slice(2, 0)) == []
